@@ -48,9 +48,9 @@ def _anchor(pattern: str) -> str:
     """The longest piece of plain text that every match of ``pattern`` contains.
 
     The pattern is cut at character classes, optional characters and wildcards;
-    escaped punctuation stands for itself.
+    escaped punctuation stands for itself. Alternatives are separate patterns.
     """
-    pieces = re.split(r"\\[a-z][+*?]?|\\\W\?|(?<!\\)\.", pattern)
+    pieces = re.split(r"\\[a-z][+*?]?|\\\W\?|\[[^\]]*\]|(?<!\\)\.", pattern)
     return max((re.sub(r"\\(\W)", r"\1", piece) for piece in pieces), key=len).lower()
 
 

@@ -60,7 +60,7 @@ def summary(t: Tables, as_of: Column) -> DataFrame:
     cities = mentions(t.postings, "city_ids", "id").agg(F.count_distinct("id"))
     educated = t.qualifications.agg(F.count_distinct("job_id"))
     histogram = t.postings.filter(c("openings").isNotNull()).groupBy("openings").agg(F.count(F.lit(1)).alias("n"))
-    median = histogram.agg(F.percentile("openings", 0.5, "n"))
+    median = histogram.agg(F.percentile("openings", 0.5, F.col("n")))
     return facts.select(
         "*",
         distinct_skills.scalar().alias("distinct_skills"),
