@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vacansight.functions.text import look_up, strip
+from vacansight.functions.text import let, look_up, strip
 from vacansight.vocab import DEGREES, LEVEL_ALIASES, SPECIALIZATION_ALIASES
 
 NO_LEVELS = "array<struct<level:string,field_of_study:string>>"
@@ -43,12 +45,31 @@ def degree_names(wording: Column) -> Column:
     )
 
 
-def _known_degree(token: Column) -> Column:
-    """The degree wording the token starts with, longest first, else NULL."""
-    chain = F
-    for wording, _ in sorted(DEGREES, key=lambda row: -len(row[0])):
-        chain = chain.when((token == wording) | token.startswith(wording + " in "), wording)
-    return chain.otherwise(F.lit(None).cast("string"))
+# The degree wording a part starts with, longest first.
+KNOWN_DEGREE = (
+    "^(" + "|".join(re.escape(wording) for wording, _ in sorted(DEGREES, key=lambda row: -len(row[0]))) + ")(?= in |$)"
+)
+
+
+def _read_part(part: Column, at: Column) -> Column:
+    return F.struct(
+        part.alias("part"), at.alias("at"), F.nullif(F.regexp_extract(part, KNOWN_DEGREE, 1), F.lit("")).alias("known")
+    )
+
+
+def _group(opening: Column, following: Column, block_level: Column) -> Column:
+    """One opening part and the further specializations behind it."""
+    unknown_name = F.substring_index(opening["part"], " in ", 1)
+    named = F.coalesce(opening["known"], unknown_name)
+    own = F.when(
+        F.length(opening["part"]) > F.length(named),
+        F.right(opening["part"], F.length(opening["part"]) - F.length(named) - 4),
+    )
+    return F.struct(
+        degree_names(F.coalesce(opening["known"], strip(unknown_name))).alias("names"),
+        F.coalesce(look_up(dict(DEGREES), opening["known"]), block_level).alias("level"),
+        F.transform(F.concat(F.array_compact(F.array(own)), following), specialization).alias("specializations"),
+    )
 
 
 def degrees_in(text: Column, block_level: Column) -> Column:
@@ -58,46 +79,39 @@ def degrees_in(text: Column, block_level: Column) -> Column:
     known degree opens a group (so does an unknown first part, at the block's own
     level); the parts up to the next opening are further specializations.
     """
-    parts = F.filter(F.transform(F.split(text, ","), strip), lambda p: p != "")
-    read = F.transform(
-        parts,
-        lambda p, i: F.struct(p.alias("part"), i.alias("at"), _known_degree(p).alias("known")),
-    )
-    openings = F.filter(
-        read, lambda r: r["known"].isNotNull() | ((r["at"] == 0) & (F.coalesce(block_level, F.lit("")) != ""))
-    )
-
-    def group(opening: Column, number: Column) -> Column:
-        until = F.coalesce(F.get(openings, number + 1)["at"], F.size(parts))
-        following = F.slice(parts, opening["at"] + 2, until - opening["at"] - 1)
-        wording = F.when(opening["known"].isNotNull(), opening["known"]).otherwise(
-            strip(F.substring_index(opening["part"], " in ", 1))
-        )
-        named = opening["part"].contains(" in ") & (
-            opening["known"].isNull() | (F.length(opening["part"]) > F.length(opening["known"]))
-        )
-        own = F.when(
-            named,
-            F.right(
-                opening["part"],
-                F.length(opening["part"])
-                - F.length(F.coalesce(opening["known"], F.substring_index(opening["part"], " in ", 1)))
-                - 4,
+    leads = F.coalesce(block_level, F.lit("")) != ""
+
+    def grouped(read: Column) -> Column:
+        opened = F.filter(read, lambda r: r["known"].isNotNull() | ((r["at"] == 0) & leads))
+        return let(
+            opened,
+            lambda openings: F.transform(
+                openings,
+                lambda opening, number: _group(
+                    opening,
+                    F.transform(
+                        F.slice(
+                            read,
+                            opening["at"] + 2,
+                            F.coalesce(F.get(openings, number + 1)["at"], F.size(read)) - opening["at"] - 1,
+                        ),
+                        lambda r: r["part"],
+                    ),
+                    block_level,
+                ),
             ),
         )
-        return F.struct(
-            degree_names(wording).alias("names"),
-            F.coalesce(look_up(dict(DEGREES), opening["known"]), block_level).alias("level"),
-            F.transform(F.concat(F.array_compact(F.array(own)), following), specialization).alias("specializations"),
-        )
 
-    groups = F.transform(openings, group)
+    parts = F.filter(F.transform(F.split(text, ","), strip), lambda p: p != "")
+    groups = let(F.transform(parts, _read_part), grouped)
     return F.flatten(
         F.transform(
             groups,
             lambda g: F.transform(
                 g["names"],
-                lambda name: F.struct(name.alias("degree"), g["level"].alias("level"), g["specializations"].alias("specializations")),
+                lambda name: F.struct(
+                    name.alias("degree"), g["level"].alias("level"), g["specializations"].alias("specializations")
+                ),
             ),
         )
     )

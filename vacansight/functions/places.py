@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacansight.functions.text import look_up, strip
+from vacansight.functions.text import let, look_up, strip
 from vacansight.vocab import CITY_ALIASES
 
 
@@ -32,15 +32,17 @@ def resolve_locations(
         F.transform(F.split(F.coalesce(F.col(location_col), F.lit("")), ","), strip), lambda f: f != ""
     )
 
-    def read(fragment: Column) -> Column:
-        key = F.lower(strip(F.regexp_replace(fragment, r"\(.*?\)", "")))
-        place = look_up(table, key)
+    def placed(fragment: Column, key: Column, place: Column) -> Column:
         return F.struct(
             fragment.alias("fragment"),
             F.try_element_at(F.col("_city_map"), place).alias("city_id"),
             (place.isNull() & ((key == "india") | key.contains("remote"))).alias("ignored"),
         )
 
+    def read(fragment: Column) -> Column:
+        bare = F.lower(strip(F.regexp_replace(fragment, r"\(.*?\)", "")))
+        return let(bare, lambda key: let(look_up(table, key), lambda place: placed(fragment, key, place)))
+
     return (
         df.withColumn("_city_map", city_ids_by_name(cities, table))
         .withColumn("_places", F.transform(fragments, read))

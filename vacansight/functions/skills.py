@@ -7,15 +7,14 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacansight.functions.text import initcap_runs, look_up, strip
+from vacansight.functions.text import initcap_runs, let, look_up, strip
 from vacansight.vocab import ALTERNATIVE_GROUPS, category_lookup, tag_lookup
 
 _TEXT_ARRAY = "array<string>"
 
 
 def normalise_skill(c: Column) -> Column:
-    tag = strip(c)
-    return F.coalesce(look_up(tag_lookup(), F.lower(tag)), initcap_runs(tag))
+    return let(strip(c), lambda tag: F.coalesce(look_up(tag_lookup(), F.lower(tag)), initcap_runs(tag)))
 
 
 def normalise_skills(tags: Column) -> Column:

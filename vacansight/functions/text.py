@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vacansight.vocab import MISSING
 
 
+# The characters that count as white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def literal_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
@@ -16,9 +22,15 @@ def look_up(pairs: dict[str, str], key: Column) -> Column:
     return F.try_element_at(literal_map(pairs), key)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also inside array functions,
+    where Spark would otherwise compute it anew at every mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def present(c: Column) -> Column:
@@ -27,7 +39,9 @@ def present(c: Column) -> Column:
 
 
 def canonical(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+    """Lower case, runs of white space as one blank. Single blanks are not touched."""
+    other = WHITE_SPACE.replace(" ", "")
+    return F.trim(F.regexp_replace(F.lower(c), f"[{other}][{WHITE_SPACE}]*| [{WHITE_SPACE}]+", " "))
 
 
 def fingerprint(company: Column, title: Column, location: Column, experience: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,19 +35,63 @@ SUMMARY_COLUMNS = [
 ]
 
 
-def with_names(rows: DataFrame, ids: str, dimension: DataFrame, id_col: str, name_col: str, out: str) -> DataFrame:
-    """Adds the sorted names behind an id array; an empty array where there are none.
+_NONE = "array<string>"
+
+
+def _dictionary(t: Tables, kinds: set[str]) -> DataFrame:
+    """``kind, id, name`` of the dictionaries behind the id arrays."""
+    sources = {"skill": (t.skills, "skill_id", "skill_name"), "city": (t.cities, "city_id", "city_name")}
+    parts = []
+    for kind in sorted(kinds):
+        table, id_col, name_col = sources[kind]
+        parts.append(table.select(F.lit(kind).alias("kind"), F.col(id_col).alias("id"), F.col(name_col).alias("name")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _tagged_ids(arrays: dict[str, tuple[str, str]]) -> Column:
+    """All id arrays of a row as one array of ``struct(out, kind, id)``."""
+
+    def tagged(out: str, kind: str, ids: str) -> Column:
+        return F.transform(
+            ids, lambda i: F.struct(F.lit(out).alias("out"), F.lit(kind).alias("kind"), i.alias("id"))
+        )
+
+    return F.concat(*[tagged(out, kind, ids) for out, (ids, kind) in arrays.items()])
+
+
+def _collected(arrays: dict[str, tuple[str, str]]) -> list[Column]:
+    return [F.array_sort(F.collect_list(F.when(F.col("out") == out, F.col("name")))).alias(out) for out in arrays]
+
+
+def with_names(t: Tables, rows: DataFrame, arrays: dict[str, tuple[str, str]], few: bool = False) -> DataFrame:
+    """Adds for each ``{out: (id array, kind)}`` the sorted names; empty where there are none.
 
     Exploded and joined on the id: a join on array membership would compare every
-    posting with every dictionary entry.
+    posting with every dictionary entry. All arrays share one explode, one join and
+    one regrouping. ``few`` rows (a page) travel along and are read only once; for a
+    whole table only ids do and the names are joined back to the rows.
     """
-    names = (
-        rows.select("job_id", F.explode(ids).alias(id_col))
-        .join(dimension.select(id_col, name_col), id_col)
+    names = _dictionary(t, {kind for _, kind in arrays.values()})
+    if few:
+        carried = rows.select(
+            "job_id", F.struct(*rows.columns).alias("row"), F.explode_outer(_tagged_ids(arrays)).alias("ref")
+        ).select("job_id", "row", "ref.*")
+        return (
+            carried.join(names, ["kind", "id"], "left")
+            .groupBy("job_id")
+            .agg(F.any_value("row").alias("row"), *_collected(arrays))
+            .select("row.*", *arrays)
+        )
+    found = (
+        rows.select("job_id", F.explode(_tagged_ids(arrays)).alias("ref"))
+        .select("job_id", "ref.*")
+        .join(names, ["kind", "id"])
         .groupBy("job_id")
-        .agg(F.array_sort(F.collect_list(name_col)).alias(out))
+        .agg(*_collected(arrays))
+    )
+    return rows.join(found, "job_id", "left").withColumns(
+        {out: F.coalesce(out, F.array().cast(_NONE)) for out in arrays}
     )
-    return rows.join(names, "job_id", "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 
 def _with_dictionaries(t: Tables, rows: DataFrame) -> DataFrame:
@@ -58,11 +104,15 @@ def _with_dictionaries(t: Tables, rows: DataFrame) -> DataFrame:
     return rows
 
 
+def _list_columns(t: Tables, rows: DataFrame, few: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    arrays = {"skills": ("skill_ids", "skill"), "cities": ("city_ids", "city")}
+    named = with_names(t, rows, arrays, few)
+    return _with_dictionaries(t, named).select(*SUMMARY_COLUMNS, *[k for k in keep if k not in SUMMARY_COLUMNS])
+
+
 def summaries(t: Tables, rows: DataFrame) -> DataFrame:
     """The 25 list columns; the description is never read for a list."""
-    named = with_names(rows, "skill_ids", t.skills, "skill_id", "skill_name", "skills")
-    named = with_names(named, "city_ids", t.cities, "city_id", "city_name", "cities")
-    return _with_dictionaries(t, named).select(*SUMMARY_COLUMNS)
+    return _list_columns(t, _light(rows), few=False)
 
 
 def _order(sort_by: str, order: str) -> list[Column]:
@@ -95,9 +145,7 @@ def search_postings(
     _check_page(page, page_size)
     keys = _order(sort_by, order)
     rows = _light(matching(t, filters)).orderBy(*keys).offset((page - 1) * page_size).limit(page_size)
-    named = summaries(t, rows)
-    if SORT_KEYS[sort_by] not in SUMMARY_COLUMNS:
-        named = named.join(rows.select("job_id", SORT_KEYS[sort_by]), "job_id")
+    named = _list_columns(t, rows, few=True, keep=(SORT_KEYS[sort_by],))
     return named.orderBy(*keys).select(*SUMMARY_COLUMNS)
 
 
@@ -124,7 +172,8 @@ def search_after(
         beyond = key > F.lit(value) if order == "asc" else key < F.lit(value)
         behind = beyond | ((key == F.lit(value)) & earlier) | key.isNull()
     rows = _light(matching(t, filters)).filter(behind).orderBy(*keys).limit(page_size)
-    return summaries(t, rows)
+    named = _list_columns(t, rows, few=True, keep=(SORT_KEYS[sort_by],))
+    return named.orderBy(*keys).select(*SUMMARY_COLUMNS)
 
 
 def page_info(t: Tables, filters: Filters | None = None, page: int = 1, page_size: int = 25) -> DataFrame:
@@ -164,9 +213,12 @@ def posting_detail(t: Tables, job_id: int | None = None) -> DataFrame:
     """Postings in full; with ``job_id`` one posting, or no row if there is none."""
     rows = t.postings if job_id is None else t.postings.filter(F.col("job_id") == job_id)
     none = F.array().cast("array<string>")
-    named = with_names(rows, "skill_ids", t.skills, "skill_id", "skill_name", "skills")
-    named = with_names(named, "preferred_skill_ids", t.skills, "skill_id", "skill_name", "preferred_skills")
-    named = with_names(named, "city_ids", t.cities, "city_id", "city_name", "cities")
+    arrays = {
+        "skills": ("skill_ids", "skill"),
+        "preferred_skills": ("preferred_skill_ids", "skill"),
+        "cities": ("city_ids", "city"),
+    }
+    named = with_names(t, rows, arrays, few=job_id is not None)
     levels = t.qualifications.groupBy("job_id").agg(
         F.array_sort(F.collect_list(F.struct("level", "field_of_study"))).alias("qualifications")
     )
@@ -210,7 +262,7 @@ def posting_detail(t: Tables, job_id: int | None = None) -> DataFrame:
 def display_rows(t: Tables, postings: DataFrame) -> DataFrame:
     """List rows as shown to a reader."""
     c = F.col
-    return summaries(t, _light(postings)).select(
+    return summaries(t, postings).select(
         "job_id",
         "title",
         "company",

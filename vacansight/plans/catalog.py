@@ -72,17 +72,17 @@ def flat(df: DataFrame) -> DataFrame:
 
 @query
 def summary(spark, sf):
-    return distributions.summary(standins.tables(spark, sf, skills=True, cities=True), day(AS_OF))
+    return distributions.summary(standins.StandIns(spark, sf, skills=True, cities=True), day(AS_OF))
 
 
 @query
 def skill_demand(spark, sf):
-    return distributions.skill_demand(standins.tables(spark, sf, skills=True), limit=25)
+    return distributions.skill_demand(standins.StandIns(spark, sf, skills=True), limit=25)
 
 
 @query
 def skill_demand_all(spark, sf):
-    return distributions.skill_demand(standins.tables(spark, sf, skills=True), limit=None, include_blocked=True)
+    return distributions.skill_demand(standins.StandIns(spark, sf, skills=True), limit=None, include_blocked=True)
 
 
 @query
@@ -91,59 +91,59 @@ def skill_demand_scoped(spark, sf):
         role_family=["BUILDING", "MACHINERY"], state=["ASIA", "EUROPE"], experience_min=2, experience_max=9,
         posted_after="1996-03-01", company="customer#0000",
     )
-    return distributions.skill_demand(standins.tables(spark, sf, skills=True, cities=True), limit=None, scope=scope)
+    return distributions.skill_demand(standins.StandIns(spark, sf, skills=True, cities=True), limit=None, scope=scope)
 
 
 @query
 def role_distribution(spark, sf):
-    return distributions.role_distribution(standins.tables(spark, sf), Filters(experience_min=1, experience_max=8))
+    return distributions.role_distribution(standins.StandIns(spark, sf), Filters(experience_min=1, experience_max=8))
 
 
 @query
 def role_distribution_by_city(spark, sf):
-    t = standins.tables(spark, sf, cities=True)
+    t = standins.StandIns(spark, sf, cities=True)
     return distributions.role_distribution(t, Filters(city=["NATION_3", "NATION_11", "Nowhere"]))
 
 
 @query
 def seniority_distribution(spark, sf):
-    return distributions.seniority_distribution(standins.tables(spark, sf))
+    return distributions.seniority_distribution(standins.StandIns(spark, sf))
 
 
 @query
 def experience_distribution(spark, sf):
-    return distributions.experience_distribution(standins.tables(spark, sf), Filters(role_family=["BUILDING", "FURNITURE"]))
+    return distributions.experience_distribution(standins.StandIns(spark, sf), Filters(role_family=["BUILDING", "FURNITURE"]))
 
 
 @query
 def location_distribution_city(spark, sf):
-    return distributions.location_distribution(standins.tables(spark, sf, cities=True), "city", 30)
+    return distributions.location_distribution(standins.StandIns(spark, sf, cities=True), "city", 30)
 
 
 @query
 def location_distribution_state(spark, sf):
-    t = standins.tables(spark, sf, cities=True)
+    t = standins.StandIns(spark, sf, cities=True)
     return distributions.location_distribution(t, "state", 30, role_family=["AUTOMOBILE"])
 
 
 @query
 def qualification_distribution(spark, sf):
-    return distributions.qualification_distribution(standins.tables(spark, sf))
+    return distributions.qualification_distribution(standins.StandIns(spark, sf))
 
 
 @query
 def skill_category_mix(spark, sf):
-    return distributions.category_mix(standins.tables(spark, sf, skills=True), Filters(role_family=["MACHINERY"]))
+    return distributions.category_mix(standins.StandIns(spark, sf, skills=True), Filters(role_family=["MACHINERY"]))
 
 
 @query
 def openings_distribution(spark, sf):
-    return distributions.openings_distribution(standins.tables(spark, sf))
+    return distributions.openings_distribution(standins.StandIns(spark, sf))
 
 
 @query
 def openings_overflow(spark, sf):
-    return distributions.openings_overflow(standins.tables(spark, sf))
+    return distributions.openings_overflow(standins.StandIns(spark, sf))
 
 
 @query
@@ -155,7 +155,7 @@ def repost_groups(spark, sf):
 
 @query
 def source_productivity(spark, sf):
-    return distributions.source_productivity(standins.tables(spark, sf), day(AS_OF))
+    return distributions.source_productivity(standins.StandIns(spark, sf), day(AS_OF))
 
 
 # --- pairs -----------------------------------------------------------------------------
@@ -163,34 +163,34 @@ def source_productivity(spark, sf):
 
 @query
 def co_occurrence(spark, sf):
-    return pairs.co_occurrence(standins.tables(spark, sf, skills=True), top_skills=20, limit=None)
+    return pairs.co_occurrence(standins.StandIns(spark, sf, skills=True), top_skills=20, limit=None)
 
 
 @query
 def co_occurrence_top(spark, sf):
-    return pairs.co_occurrence(standins.tables(spark, sf, skills=True), top_skills=12, limit=15, min_together=5)
+    return pairs.co_occurrence(standins.StandIns(spark, sf, skills=True), top_skills=12, limit=15, min_together=5)
 
 
 @query
 def skill_suggestions(spark, sf):
-    return pairs.skill_suggestions(standins.tables(spark, sf, skills=True), SUGGEST_FOR, 15)
+    return pairs.skill_suggestions(standins.StandIns(spark, sf, skills=True), SUGGEST_FOR, 15)
 
 
 @query
 def skill_suggestions_by_role(spark, sf):
-    t = standins.tables(spark, sf, skills=True)
+    t = standins.StandIns(spark, sf, skills=True)
     return pairs.skill_suggestions(t, SUGGEST_FOR, None, role_family=["BUILDING"])
 
 
 @query
 def pair_matrix(spark, sf):
-    matrix = pairs.pair_matrix(standins.tables(spark, sf, skills=True), 20)
+    matrix = pairs.pair_matrix(standins.StandIns(spark, sf, skills=True), 20)
     return pairs.matrix_columns(matrix, ["Brand#1", "Brand#2", "Brand#10", "Brand#25"])
 
 
 @query
 def level_share_matrix(spark, sf):
-    return pairs.level_share_matrix(standins.tables(spark, sf, skills=True))
+    return pairs.level_share_matrix(standins.StandIns(spark, sf, skills=True))
 
 
 # --- reference lists --------------------------------------------------------------------
@@ -198,72 +198,72 @@ def level_share_matrix(spark, sf):
 
 @query
 def cities_reference(spark, sf):
-    return reference_lists.cities_reference(standins.tables(spark, sf, cities=True))
+    return reference_lists.cities_reference(standins.StandIns(spark, sf, cities=True))
 
 
 @query
 def cities_with_postings(spark, sf):
-    return reference_lists.cities_reference(standins.tables(spark, sf, cities=True), with_postings_only=True)
+    return reference_lists.cities_reference(standins.StandIns(spark, sf, cities=True), with_postings_only=True)
 
 
 @query
 def states_reference(spark, sf):
-    return reference_lists.states_reference(standins.tables(spark, sf, cities=True))
+    return reference_lists.states_reference(standins.StandIns(spark, sf, cities=True))
 
 
 @query
 def roles_reference(spark, sf):
-    return reference_lists.roles_reference(standins.tables(spark, sf))
+    return reference_lists.roles_reference(standins.StandIns(spark, sf))
 
 
 @query
 def role_categories_reference(spark, sf):
-    return reference_lists.role_categories_reference(standins.tables(spark, sf))
+    return reference_lists.role_categories_reference(standins.StandIns(spark, sf))
 
 
 @query
 def departments_reference(spark, sf):
-    return reference_lists.departments_reference(standins.tables(spark, sf))
+    return reference_lists.departments_reference(standins.StandIns(spark, sf))
 
 
 @query
 def industry_types_reference(spark, sf):
-    return reference_lists.industry_types_reference(standins.tables(spark, sf))
+    return reference_lists.industry_types_reference(standins.StandIns(spark, sf))
 
 
 @query
 def degrees_reference(spark, sf):
-    return reference_lists.degrees_reference(standins.tables(spark, sf, degrees=True))
+    return reference_lists.degrees_reference(standins.StandIns(spark, sf, degrees=True))
 
 
 @query
 def specializations_reference(spark, sf):
-    return reference_lists.specializations_reference(standins.tables(spark, sf, degrees=True))
+    return reference_lists.specializations_reference(standins.StandIns(spark, sf, degrees=True))
 
 
 @query
 def companies_reference(spark, sf):
-    return reference_lists.companies_reference(standins.tables(spark, sf), limit=100, min_postings=2, search="000")
+    return reference_lists.companies_reference(standins.StandIns(spark, sf), limit=100, min_postings=2, search="000")
 
 
 @query
 def skills_reference(spark, sf):
-    return reference_lists.skills_reference(standins.tables(spark, sf, skills=True), min_postings=3, search="brand#1")
+    return reference_lists.skills_reference(standins.StandIns(spark, sf, skills=True), min_postings=3, search="brand#1")
 
 
 @query
 def working_types(spark, sf):
-    return reference_lists.stated_values(standins.tables(spark, sf), "working_type")
+    return reference_lists.stated_values(standins.StandIns(spark, sf), "working_type")
 
 
 @query
 def employment_types(spark, sf):
-    return reference_lists.stated_values(standins.tables(spark, sf), "employment_type")
+    return reference_lists.stated_values(standins.StandIns(spark, sf), "employment_type")
 
 
 @query
 def contract_types(spark, sf):
-    return reference_lists.stated_values(standins.tables(spark, sf), "contract_type")
+    return reference_lists.stated_values(standins.StandIns(spark, sf), "contract_type")
 
 
 @query
@@ -276,25 +276,25 @@ def posting_count(spark, sf):
 
 @query
 def search_page(spark, sf):
-    t = standins.tables(spark, sf, skills=True, cities=True)
+    t = standins.StandIns(spark, sf, skills=True, cities=True)
     return flat(search.search_postings(t, Filters(min_openings=2), "posted_date", "desc", page=3, page_size=25))
 
 
 @query
 def search_page_first_seen(spark, sf):
-    t = standins.tables(spark, sf, skills=True, cities=True)
+    t = standins.StandIns(spark, sf, skills=True, cities=True)
     return flat(search.search_postings(t, Filters(), "first_seen", "asc", page=1, page_size=40))
 
 
 @query
 def search_after_row(spark, sf):
-    t = standins.tables(spark, sf, skills=True, cities=True)
+    t = standins.StandIns(spark, sf, skills=True, cities=True)
     return flat(search.search_after(t, (7, 900), Filters(), "experience_min", "asc", page_size=30))
 
 
 @query
 def search_page_info(spark, sf):
-    return search.page_info(standins.tables(spark, sf), Filters(has_salary=True, salary_min=12, salary_max=40), 2, 25)
+    return search.page_info(standins.StandIns(spark, sf), Filters(has_salary=True, salary_min=12, salary_max=40), 2, 25)
 
 
 def _matching_ids(t, f):
@@ -305,28 +305,28 @@ def _matching_ids(t, f):
 
 @query
 def search_skill_any(spark, sf):
-    return _matching_ids(standins.tables(spark, sf, skills=True), Filters(skill=["Brand#2", "Brand#14", "No such skill"]))
+    return _matching_ids(standins.StandIns(spark, sf, skills=True), Filters(skill=["Brand#2", "Brand#14", "No such skill"]))
 
 
 @query
 def search_skill_all(spark, sf):
-    return _matching_ids(standins.tables(spark, sf, skills=True), Filters(skills_all=["Brand#2", "Brand#14"]))
+    return _matching_ids(standins.StandIns(spark, sf, skills=True), Filters(skills_all=["Brand#2", "Brand#14"]))
 
 
 @query
 def search_skill_all_unknown(spark, sf):
-    return _matching_ids(standins.tables(spark, sf, skills=True), Filters(skills_all=["Brand#2", "No such skill"]))
+    return _matching_ids(standins.StandIns(spark, sf, skills=True), Filters(skills_all=["Brand#2", "No such skill"]))
 
 
 @query
 def search_locations(spark, sf):
-    t = standins.tables(spark, sf, cities=True)
+    t = standins.StandIns(spark, sf, cities=True)
     return _matching_ids(t, Filters(city=["NATION_4", "NATION_9"], state=["MIDDLE EAST"]))
 
 
 @query
 def search_text(spark, sf):
-    return _matching_ids(standins.tables(spark, sf), Filters(search="DATA%engineer", company="#0000000"))
+    return _matching_ids(standins.StandIns(spark, sf), Filters(search="DATA%engineer", company="#0000000"))
 
 
 @query
@@ -337,17 +337,17 @@ def search_everything(spark, sf):
         employment_type=["Full Time"], contract_type=["Permanent", "Contract"], qualification_level=["UG", "PG"],
         posted_after="1995-02-01", posted_before="2001-02-01", seen_after="1995-06-01", min_openings=2,
     )
-    return _matching_ids(standins.tables(spark, sf), f)
+    return _matching_ids(standins.StandIns(spark, sf), f)
 
 
 @query
 def search_undisclosed_salary(spark, sf):
-    return _matching_ids(standins.tables(spark, sf), Filters(has_salary=False, qualification_level=["Doctorate"]))
+    return _matching_ids(standins.StandIns(spark, sf), Filters(has_salary=False, qualification_level=["Doctorate"]))
 
 
 @query
 def posting_detail(spark, sf):
-    t = standins.tables(spark, sf, skills=True, cities=True, degrees=True, description=True)
+    t = standins.StandIns(spark, sf, skills=True, cities=True, degrees=True, description=True)
     full = search.posting_detail(t)
     return flat(
         full.withColumns(
@@ -362,13 +362,13 @@ def posting_detail(spark, sf):
 
 @query
 def posting_degrees(spark, sf):
-    t = standins.tables(spark, sf, degrees=True)
+    t = standins.StandIns(spark, sf, degrees=True)
     return flat(search.posting_degrees(t, t.postings))
 
 
 @query
 def display_rows(spark, sf):
-    t = standins.tables(spark, sf, skills=True, cities=True)
+    t = standins.StandIns(spark, sf, skills=True, cities=True)
     return search.display_rows(t, t.postings)
 
 
@@ -426,7 +426,7 @@ def skill_series(spark, sf):
 
 @query
 def snapshot_daily(spark, sf):
-    t = standins.tables(spark, sf, skills=True)
+    t = standins.StandIns(spark, sf, skills=True)
     return trends.snapshot(t.postings, t.skills, day(AS_OF))
 
 
@@ -448,27 +448,27 @@ def snapshot_upsert(spark, sf):
 
 @query
 def band_squares(spark, sf):
-    return digest.band_squares(standins.tables(spark, sf))
+    return digest.band_squares(standins.StandIns(spark, sf))
 
 
 @query
 def bands_in_order(spark, sf):
-    return digest.bands_in_order(standins.tables(spark, sf))
+    return digest.bands_in_order(standins.StandIns(spark, sf))
 
 
 @query
 def seniority_in_order(spark, sf):
-    return digest.seniority_in_order(distributions.seniority_distribution(standins.tables(spark, sf)))
+    return digest.seniority_in_order(distributions.seniority_distribution(standins.StandIns(spark, sf)))
 
 
 @query
 def fresher_ratio(spark, sf):
-    return digest.fresher_ratio(standins.tables(spark, sf))
+    return digest.fresher_ratio(standins.StandIns(spark, sf))
 
 
 @query
 def city_map(spark, sf):
-    t = standins.tables(spark, sf, cities=True)
+    t = standins.StandIns(spark, sf, cities=True)
     places = spark.createDataFrame(MAP_PLACES, "n int, lat double, lon double").select(
         F.concat(F.lit("NATION_"), F.col("n").cast("string")).alias("city_name"), "lat", "lon"
     )
@@ -477,7 +477,7 @@ def city_map(spark, sf):
 
 @query
 def weekly_digest(spark, sf):
-    t = standins.tables(spark, sf, skills=True)
+    t = standins.StandIns(spark, sf, skills=True)
     return digest.weekly_digest(t, day(AS_OF), day(TREND_DAY))
 
 
@@ -512,12 +512,12 @@ def field_health_history(spark, sf):
 
 @query
 def constraint_report(spark, sf):
-    return health.constraint_report(standins.tables(spark, sf, skills=True))
+    return health.constraint_report(standins.StandIns(spark, sf, skills=True))
 
 
 @query
 def orphan_report(spark, sf):
-    t = standins.tables(spark, sf, skills=True, cities=True)
+    t = standins.StandIns(spark, sf, skills=True, cities=True)
     t.skills = t.skills.filter(F.col("category").isNotNull())
     t.role_categories = t.role_categories.filter(F.col("name") != "ASIA")
     return health.orphan_report(t)

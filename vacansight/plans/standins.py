@@ -7,10 +7,12 @@ computed from the row it belongs to.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vacansight.schemas import Tables
 from vacansight.session import spread
 
 # Wording the raw text columns are made of.
@@ -45,8 +47,15 @@ CATEGORIES = ["Languages", "Backend", "Database", "Data/ML"]
 LEVELS = {"A": "UG", "N": "PG", "R": "Doctorate"}
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its footer is read for the schema once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,23 +147,24 @@ def postings(
     lines = table(spark, sf_dir, "lineitem")
     none = F.array().cast("array<int>")
     if skills or degrees:
-        wanted = []
+        # Per part, not per line: the join multiplies parts.
+        parts = table(spark, sf_dir, "part").select(
+            F.col("p_partkey").alias("l_partkey"),
+            brand_id().alias("brand"),
+            degree_id().alias("degree"),
+            F.when(F.col("p_size") % 2 == 0, (degree_id() * 10 + size_band()).cast("int")).alias("pair"),
+        )
+        wanted = {}
         if skills:
-            starred = F.when(F.col("l_returnflag") == "R", brand_id())
-            wanted += [
-                F.array_sort(F.collect_set(brand_id())).alias("skill_ids"),
-                F.array_sort(F.collect_set(starred)).alias("preferred_skill_ids"),
-            ]
+            wanted["skill_ids"] = F.col("brand")
+            wanted["preferred_skill_ids"] = F.when(F.col("l_returnflag") == "R", F.col("brand"))
         if degrees:
-            pair = (degree_id() * 10 + size_band()).cast("int")
-            wanted += [
-                F.array_sort(F.collect_set(degree_id())).alias("accepted_degree_ids"),
-                F.array_sort(F.collect_set(F.when(F.col("p_size") % 2 == 0, pair))).alias("accepted_degree_specialization_ids"),
-            ]
-        parts = table(spark, sf_dir, "part")
-        arrays = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("job_id")).agg(*wanted)
-        names = [c for c in arrays.columns if c != "job_id"]
-        out = out.join(arrays, "job_id", "left").withColumns({n: F.coalesce(n, none) for n in names})
+            wanted["accepted_degree_ids"] = F.col("degree")
+            wanted["accepted_degree_specialization_ids"] = F.col("pair")
+        arrays = lines.join(parts, "l_partkey").groupBy(F.col("l_orderkey").alias("job_id")).agg(
+            *[F.array_sort(F.collect_set(c)).alias(name) for name, c in wanted.items()]
+        )
+        out = out.join(arrays, "job_id", "left").withColumns({n: F.coalesce(n, none) for n in wanted})
     if cities:
         suppliers = table(spark, sf_dir, "supplier")
         places = (
@@ -270,24 +280,67 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tables(spark: SparkSession, sf_dir: str, **arrays: bool) -> Tables:
-    """All model tables; a query's plan contains only those it uses."""
-    return Tables(
-        postings=postings(spark, sf_dir, **arrays),
-        skills=skills(spark, sf_dir),
-        cities=cities(spark, sf_dir),
-        states=named_regions(spark, sf_dir, "state_id", "state_name"),
-        qualifications=qualifications(spark, sf_dir),
-        degrees=degrees(spark, sf_dir),
-        specializations=specializations(spark, sf_dir),
-        degree_specializations=degree_specializations(spark, sf_dir),
-        role_categories=named_regions(spark, sf_dir, "role_category_id"),
-        departments=departments(spark, sf_dir),
-        industry_types=named_regions(spark, sf_dir, "industry_type_id"),
-        blocklist=blocklist(spark),
-        daily_counts=daily_counts(spark, sf_dir),
-        runs=runs(spark, sf_dir),
-    )
+class StandIns:
+    """The model's tables by name, each built when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, **arrays: bool):
+        self._source, self._arrays = (spark, sf_dir), arrays
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return postings(*self._source, **self._arrays)
+
+    @cached_property
+    def skills(self) -> DataFrame:
+        return skills(*self._source)
+
+    @cached_property
+    def cities(self) -> DataFrame:
+        return cities(*self._source)
+
+    @cached_property
+    def states(self) -> DataFrame:
+        return named_regions(*self._source, "state_id", "state_name")
+
+    @cached_property
+    def qualifications(self) -> DataFrame:
+        return qualifications(*self._source)
+
+    @cached_property
+    def degrees(self) -> DataFrame:
+        return degrees(*self._source)
+
+    @cached_property
+    def specializations(self) -> DataFrame:
+        return specializations(*self._source)
+
+    @cached_property
+    def degree_specializations(self) -> DataFrame:
+        return degree_specializations(*self._source)
+
+    @cached_property
+    def role_categories(self) -> DataFrame:
+        return named_regions(*self._source, "role_category_id")
+
+    @cached_property
+    def departments(self) -> DataFrame:
+        return departments(*self._source)
+
+    @cached_property
+    def industry_types(self) -> DataFrame:
+        return named_regions(*self._source, "industry_type_id")
+
+    @cached_property
+    def blocklist(self) -> DataFrame:
+        return blocklist(self._source[0])
+
+    @cached_property
+    def daily_counts(self) -> DataFrame:
+        return daily_counts(*self._source)
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        return runs(*self._source)
 
 
 def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,9 +384,11 @@ def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as raw posting records, with tags from their lines and text from the documents."""
     base = raw_text(spark, sf_dir)
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    tag = choose(TAGS, brand_id())
-    per_line = F.struct("l_linenumber", "l_partkey", tag.alias("tag"), F.col("l_returnflag").alias("flag"))
+    parts = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("l_partkey"), choose(TAGS, brand_id()).alias("tag")
+    )
+    lines = table(spark, sf_dir, "lineitem").join(parts, "l_partkey")
+    per_line = F.struct("l_linenumber", "l_partkey", "tag", F.col("l_returnflag").alias("flag"))
     tags = lines.groupBy(F.col("l_orderkey").alias("job_id")).agg(F.array_sort(F.collect_list(per_line)).alias("lines"))
     odd = F.filter("lines", lambda l: l["l_linenumber"] % 2 == 1)
     even = F.filter("lines", lambda l: l["l_linenumber"] % 2 == 0)
