@@ -48,7 +48,7 @@ def resolve_locations(
         .withColumn("_places", F.transform(fragments, read))
         .withColumn(
             "city_ids",
-            F.array_sort(F.array_distinct(F.array_compact(F.transform("_places", lambda p: p["city_id"])))),
+            F.sort_array(F.array_distinct(F.array_compact(F.transform("_places", lambda p: p["city_id"])))),
         )
         .withColumn(
             "unmapped_locations",

@@ -20,7 +20,7 @@ def normalise_skill(c: Column) -> Column:
 def normalise_skills(tags: Column) -> Column:
     """Agreed names, distinct and sorted; NULL and blank tags drop out."""
     filled = F.filter(F.coalesce(tags, F.array().cast(_TEXT_ARRAY)), lambda t: F.length(strip(t)) > 0)
-    return F.array_sort(F.array_distinct(F.transform(filled, normalise_skill)))
+    return F.sort_array(F.array_distinct(F.transform(filled, normalise_skill)))
 
 
 def merge_skills(tags: Column, mined: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -15,7 +16,8 @@ WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr,
 
 
 def literal_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    """A fixed map; Spark folds it to a constant once per query."""
+    return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
 
 
 def look_up(pairs: dict[str, str], key: Column) -> Column:
@@ -39,9 +41,8 @@ def present(c: Column) -> Column:
 
 
 def canonical(c: Column) -> Column:
-    """Lower case, runs of white space as one blank. Single blanks are not touched."""
-    other = WHITE_SPACE.replace(" ", "")
-    return F.trim(F.regexp_replace(F.lower(c), f"[{other}][{WHITE_SPACE}]*| [{WHITE_SPACE}]+", " "))
+    """Lower case, runs of white space as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(c), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def fingerprint(company: Column, title: Column, location: Column, experience: Column) -> Column:

@@ -38,7 +38,7 @@ class Filters:
 
 def _ids(dimension: DataFrame, id_col: str, condition: Column) -> Column:
     """The ids of the named entries, as one array (a scalar subquery, run once)."""
-    return dimension.filter(condition).agg(F.array_sort(F.collect_set(id_col))).scalar()
+    return dimension.filter(condition).agg(F.sort_array(F.collect_set(id_col))).scalar()
 
 
 def has_any_skill(skills: DataFrame, names: list[str]) -> Column:

@@ -32,7 +32,7 @@ def co_occurrence(t: Tables, top_skills: int = 20, limit: int | None = 100, min_
     ranked = top(not_blocked(skill_counts(t, t.postings), t.blocklist, "skill_name"), top_skills, "skill_name")
     wanted = ranked.agg(F.collect_list("skill_id")).scalar()
     cut = t.postings.select(F.sort_array(F.array_intersect("skill_ids", wanted)).alias("ids"))
-    paired = cut.filter(F.size("ids") > 1).select(F.explode(_pairs_of(F.col("ids"))).alias("p"))
+    paired = cut.filter(F.size("ids") > 1).select(F.explode_outer(_pairs_of(F.col("ids"))).alias("p"))
     together = paired.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("together"))
     first = ranked.select(F.col("skill_id").alias("a"), F.col("skill_name").alias("skill_a"), F.col("postings").alias("n"))
     second = ranked.select(F.col("skill_id").alias("b"), F.col("skill_name").alias("skill_b"))
@@ -62,7 +62,7 @@ def pair_matrix(t: Tables, top_skills: int = 20) -> DataFrame:
         pairs.select(F.col("skill_b").alias("skill_a"), F.col("skill_a").alias("skill_b"), "together")
     )
     return both.groupBy("skill_a").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("skill_b", "together")))).alias("together")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("skill_b", "together")))).alias("together")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacansight.functions import display
+from vacansight.functions.education import NO_DEGREES, NO_LEVELS
 from vacansight.functions.sections import description_sections
 from vacansight.operators.filters import Filters, matching
 from vacansight.schemas import Tables
@@ -35,17 +36,28 @@ SUMMARY_COLUMNS = [
 ]
 
 
-_NONE = "array<string>"
-
-
 def _dictionary(t: Tables, kinds: set[str]) -> DataFrame:
-    """``kind, id, name`` of the dictionaries behind the id arrays."""
-    sources = {"skill": (t.skills, "skill_id", "skill_name"), "city": (t.cities, "city_id", "city_name")}
+    """``kind, id, name, level, degree_id`` of the dictionaries behind the id arrays."""
+    c, none = F.col, F.lit(None)
     parts = []
-    for kind in sorted(kinds):
-        table, id_col, name_col = sources[kind]
-        parts.append(table.select(F.lit(kind).alias("kind"), F.col(id_col).alias("id"), F.col(name_col).alias("name")))
-    return reduce(DataFrame.unionByName, parts)
+    if "skill" in kinds:
+        parts.append(t.skills.select(F.lit("skill").alias("kind"), c("skill_id").alias("id"), c("skill_name").alias("name")))
+    if "city" in kinds:
+        parts.append(t.cities.select(F.lit("city").alias("kind"), c("city_id").alias("id"), c("city_name").alias("name")))
+    if "degree" in kinds:
+        parts.append(
+            t.degrees.select(F.lit("degree").alias("kind"), c("degree_id").alias("id"), c("degree_name").alias("name"), "level")
+        )
+    if "pair" in kinds:
+        parts.append(
+            t.degree_specializations.join(t.specializations, "specialization_id").select(
+                F.lit("pair").alias("kind"), c("degree_specialization_id").alias("id"),
+                c("specialization_name").alias("name"), "degree_id",
+            )
+        )
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    missing = {"level": none.cast("string"), "degree_id": none.cast("int")}
+    return every.withColumns({n: v for n, v in missing.items() if n not in every.columns})
 
 
 def _tagged_ids(arrays: dict[str, tuple[str, str]]) -> Column:
@@ -60,11 +72,21 @@ def _tagged_ids(arrays: dict[str, tuple[str, str]]) -> Column:
 
 
 def _collected(arrays: dict[str, tuple[str, str]]) -> list[Column]:
-    return [F.array_sort(F.collect_list(F.when(F.col("out") == out, F.col("name")))).alias(out) for out in arrays]
+    """Names as a sorted list; degrees and pairs with what ties them together."""
+    shape = {
+        "degree": F.struct("level", F.col("name").alias("degree"), F.col("id").alias("degree_id")),
+        "pair": F.struct("degree_id", "name"),
+    }
+    return [
+        F.sort_array(
+            F.collect_list(F.when((F.col("out") == out) & F.col("name").isNotNull(), shape.get(kind, F.col("name"))))
+        ).alias(out)
+        for out, (_, kind) in arrays.items()
+    ]
 
 
 def with_names(t: Tables, rows: DataFrame, arrays: dict[str, tuple[str, str]], few: bool = False) -> DataFrame:
-    """Adds for each ``{out: (id array, kind)}`` the sorted names; empty where there are none.
+    """Adds for each ``{out: (id array, kind)}`` the sorted entries; NULL or empty where there are none.
 
     Exploded and joined on the id: a join on array membership would compare every
     posting with every dictionary entry. All arrays share one explode, one join and
@@ -83,15 +105,17 @@ def with_names(t: Tables, rows: DataFrame, arrays: dict[str, tuple[str, str]], f
             .select("row.*", *arrays)
         )
     found = (
-        rows.select("job_id", F.explode(_tagged_ids(arrays)).alias("ref"))
+        rows.select("job_id", F.explode_outer(_tagged_ids(arrays)).alias("ref"))
         .select("job_id", "ref.*")
         .join(names, ["kind", "id"])
         .groupBy("job_id")
         .agg(*_collected(arrays))
     )
-    return rows.join(found, "job_id", "left").withColumns(
-        {out: F.coalesce(out, F.array().cast(_NONE)) for out in arrays}
-    )
+    return rows.join(found, "job_id", "left")
+
+
+def _or_none(out: str) -> Column:
+    return F.coalesce(out, F.array().cast("array<string>")).alias(out)
 
 
 def _with_dictionaries(t: Tables, rows: DataFrame) -> DataFrame:
@@ -106,7 +130,7 @@ def _with_dictionaries(t: Tables, rows: DataFrame) -> DataFrame:
 
 def _list_columns(t: Tables, rows: DataFrame, few: bool, keep: tuple[str, ...] = ()) -> DataFrame:
     arrays = {"skills": ("skill_ids", "skill"), "cities": ("city_ids", "city")}
-    named = with_names(t, rows, arrays, few)
+    named = with_names(t, rows, arrays, few).withColumns({out: _or_none(out) for out in arrays})
     return _with_dictionaries(t, named).select(*SUMMARY_COLUMNS, *[k for k in keep if k not in SUMMARY_COLUMNS])
 
 
@@ -194,7 +218,7 @@ def posting_degrees(t: Tables, postings: DataFrame) -> DataFrame:
         .join(t.degree_specializations, "degree_specialization_id")
         .join(t.specializations, "specialization_id")
         .groupBy("job_id", "degree_id")
-        .agg(F.array_sort(F.collect_list("specialization_name")).alias("specializations"))
+        .agg(F.sort_array(F.collect_list("specialization_name")).alias("specializations"))
     )
     return (
         postings.select("job_id", F.explode("accepted_degree_ids").alias("degree_id"))
@@ -209,6 +233,20 @@ def posting_degrees(t: Tables, postings: DataFrame) -> DataFrame:
     )
 
 
+def _degrees_with_pairs(degrees: Column, pairs: Column) -> Column:
+    """Each degree with the names of its own pairs, from the row's two small arrays."""
+    return F.transform(
+        degrees,
+        lambda d: F.struct(
+            d["degree"].alias("degree"),
+            d["level"].alias("level"),
+            F.transform(
+                F.filter(pairs, lambda p: p["degree_id"] == d["degree_id"]), lambda p: p["name"]
+            ).alias("specializations"),
+        ),
+    )
+
+
 def posting_detail(t: Tables, job_id: int | None = None) -> DataFrame:
     """Postings in full; with ``job_id`` one posting, or no row if there is none."""
     rows = t.postings if job_id is None else t.postings.filter(F.col("job_id") == job_id)
@@ -217,39 +255,32 @@ def posting_detail(t: Tables, job_id: int | None = None) -> DataFrame:
         "skills": ("skill_ids", "skill"),
         "preferred_skills": ("preferred_skill_ids", "skill"),
         "cities": ("city_ids", "city"),
+        "_degrees": ("accepted_degree_ids", "degree"),
+        "_pairs": ("accepted_degree_specialization_ids", "pair"),
     }
     named = with_names(t, rows, arrays, few=job_id is not None)
-    levels = t.qualifications.groupBy("job_id").agg(
-        F.array_sort(F.collect_list(F.struct("level", "field_of_study"))).alias("qualifications")
-    )
-    degrees = (
-        posting_degrees(t, rows)
-        .groupBy("job_id")
-        .agg(F.array_sort(F.collect_list(F.struct("level", "degree", "specializations"))).alias("_degrees"))
-        .select(
-            "job_id",
-            F.transform("_degrees", lambda d: F.struct(d["degree"].alias("degree"), d["level"].alias("level"), d["specializations"].alias("specializations")))
-            .alias("qualification_degrees"),
-        )
+    named = named.withColumns({out: _or_none(out) for out in ("skills", "preferred_skills", "cities")})
+    stated = t.qualifications if job_id is None else t.qualifications.filter(F.col("job_id") == job_id)
+    levels = stated.groupBy("job_id").agg(
+        F.sort_array(F.collect_list(F.struct("level", "field_of_study"))).alias("qualifications")
     )
     sections = description_sections(F.col("description"))
     return (
         _with_dictionaries(t, named)
         .join(levels, "job_id", "left")
-        .join(degrees, "job_id", "left")
+        .withColumn("_sections", sections)
         .select(
             *SUMMARY_COLUMNS,
             "description",
-            sections["responsibilities"].alias("responsibilities_text"),
-            sections["requirements"].alias("requirements_text"),
+            F.col("_sections.responsibilities").alias("responsibilities_text"),
+            F.col("_sections.requirements").alias("requirements_text"),
             F.coalesce("certifications", none).alias("certifications"),
             "preferred_skills",
             F.coalesce("company_badges", none).alias("company_badges"),
             "source_search",
-            F.coalesce("qualifications", F.array().cast("array<struct<level:string,field_of_study:string>>")).alias("qualifications"),
+            F.coalesce("qualifications", F.array().cast(NO_LEVELS)).alias("qualifications"),
             F.coalesce(
-                "qualification_degrees",
-                F.array().cast("array<struct<degree:string,level:string,specializations:array<string>>>"),
+                _degrees_with_pairs(F.col("_degrees"), F.col("_pairs")), F.array().cast(NO_DEGREES)
             ).alias("qualification_degrees"),
             "first_seen_date",
             "last_seen_date",

@@ -19,6 +19,7 @@ from vacansight.operators.filters import Filters
 from vacansight.plans import standins
 from vacansight.plans.clean import clean_postings
 from vacansight.sources import pages as page_jobs
+from vacansight.session import small_table, unfolded
 from vacansight.sources import seeds
 from vacansight.vocab import CERTIFICATION_PATTERNS, ROLE_PATTERNS, SENIORITY_PATTERNS, SKILL_PATTERNS
 
@@ -469,7 +470,7 @@ def fresher_ratio(spark, sf):
 @query
 def city_map(spark, sf):
     t = standins.StandIns(spark, sf, cities=True)
-    places = spark.createDataFrame(MAP_PLACES, "n int, lat double, lon double").select(
+    places = small_table(spark, MAP_PLACES, "n int, lat double, lon double").select(
         F.concat(F.lit("NATION_"), F.col("n").cast("string")).alias("city_name"), "lat", "lon"
     )
     return digest.city_map(reference_lists.cities_reference(t), places)
@@ -682,14 +683,14 @@ def years_in_text(spark, sf):
 @query
 def qualification_levels(spark, sf):
     block = F.create_map(F.lit("Under Graduate"), F.col("ug"), F.lit(" PhD "), F.col("pg"), F.lit("Diploma"), F.lit("Any"))
-    rows = _raw(spark, sf, F.explode(education.qualification_levels(block)).alias("q"))
+    rows = unfolded(standins.raw_text(spark, sf), education.qualification_levels(block), "q", "job_id")
     return rows.select("job_id", "q.level", "q.field_of_study")
 
 
 @query
 def degree_breakdown(spark, sf):
     block = F.create_map(F.lit("UG"), F.col("ug"), F.lit("Post Graduate"), F.col("pg"))
-    rows = _raw(spark, sf, F.explode(education.degree_breakdown(block)).alias("d"))
+    rows = unfolded(standins.raw_text(spark, sf), education.degree_breakdown(block), "d", "job_id")
     return flat(rows.select("job_id", "d.degree", "d.level", "d.specializations"))
 
 
@@ -747,7 +748,7 @@ def alternative_skills(spark, sf):
 
 @query
 def skill_categories(spark, sf):
-    named = _tagged(spark, sf).select(F.explode(skill_steps.normalise_skills(F.col("key_skills"))).alias("skill"))
+    named = unfolded(_tagged(spark, sf), skill_steps.normalise_skills(F.col("key_skills")), "skill")
     return named.groupBy("skill", skill_steps.skill_category(F.col("skill")).alias("category")).agg(F.count(F.lit(1)).alias("postings"))
 
 

@@ -76,8 +76,8 @@ def _with_ids(store: Store, batch: DataFrame) -> DataFrame:
     ).join(store.read("skills"), "skill_name")
     starred = F.array_contains("preferred_skills", F.col("skill_name"))
     skill_ids = mentions.groupBy("fingerprint").agg(
-        F.array_sort(F.collect_set("skill_id")).alias("skill_ids"),
-        F.array_sort(F.collect_set(F.when(starred, F.col("skill_id")))).alias("preferred_skill_ids"),
+        F.sort_array(F.collect_set("skill_id")).alias("skill_ids"),
+        F.sort_array(F.collect_set(F.when(starred, F.col("skill_id")))).alias("preferred_skill_ids"),
     )
     degrees = _degree_rows(batch).join(store.read("degrees"), ["degree_name", "level"])
     pairs = (
@@ -86,8 +86,8 @@ def _with_ids(store: Store, batch: DataFrame) -> DataFrame:
         .join(store.read("degree_specializations"), ["degree_id", "specialization_id"], "left")
     )
     degree_ids = pairs.groupBy("fingerprint").agg(
-        F.array_sort(F.collect_set("degree_id")).alias("accepted_degree_ids"),
-        F.array_sort(F.collect_set("degree_specialization_id")).alias("accepted_degree_specialization_ids"),
+        F.sort_array(F.collect_set("degree_id")).alias("accepted_degree_ids"),
+        F.sort_array(F.collect_set("degree_specialization_id")).alias("accepted_degree_specialization_ids"),
     )
     out = batch.join(skill_ids, "fingerprint", "left").join(degree_ids, "fingerprint", "left")
     for table, id_col, column in _DIMENSIONS:

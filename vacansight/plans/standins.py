@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacansight.session import spread
+from vacansight.session import small_table, spread
 
 # Wording the raw text columns are made of.
 TITLE_STARTS = {"1-URGENT": "Senior", "2-HIGH": "Technical Lead,", "3-MEDIUM": "Junior", "5-LOW": "Associate"}
@@ -162,7 +162,7 @@ def postings(
             wanted["accepted_degree_ids"] = F.col("degree")
             wanted["accepted_degree_specialization_ids"] = F.col("pair")
         arrays = lines.join(parts, "l_partkey").groupBy(F.col("l_orderkey").alias("job_id")).agg(
-            *[F.array_sort(F.collect_set(c)).alias(name) for name, c in wanted.items()]
+            *[F.sort_array(F.collect_set(c)).alias(name) for name, c in wanted.items()]
         )
         out = out.join(arrays, "job_id", "left").withColumns({n: F.coalesce(n, none) for n in wanted})
     if cities:
@@ -170,7 +170,7 @@ def postings(
         places = (
             lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
             .groupBy(F.col("l_orderkey").alias("job_id"))
-            .agg(F.array_sort(F.collect_set(F.col("s_nationkey").cast("int"))).alias("city_ids"))
+            .agg(F.sort_array(F.collect_set(F.col("s_nationkey").cast("int"))).alias("city_ids"))
         )
         out = out.join(places, "job_id", "left").withColumn("city_ids", F.coalesce("city_ids", none))
     if description:
@@ -237,7 +237,7 @@ def degree_specializations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocklist(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(b,) for b in BLOCKED], "skill string")
+    return small_table(spark, [(b,) for b in BLOCKED], "skill string")
 
 
 def event_key() -> Column:
@@ -389,7 +389,7 @@ def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     lines = table(spark, sf_dir, "lineitem").join(parts, "l_partkey")
     per_line = F.struct("l_linenumber", "l_partkey", "tag", F.col("l_returnflag").alias("flag"))
-    tags = lines.groupBy(F.col("l_orderkey").alias("job_id")).agg(F.array_sort(F.collect_list(per_line)).alias("lines"))
+    tags = lines.groupBy(F.col("l_orderkey").alias("job_id")).agg(F.sort_array(F.collect_list(per_line)).alias("lines"))
     odd = F.filter("lines", lambda l: l["l_linenumber"] % 2 == 1)
     even = F.filter("lines", lambda l: l["l_linenumber"] % 2 == 0)
     starred = F.filter("lines", lambda l: l["flag"] == "R")

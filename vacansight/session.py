@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[8]", app: str = "vacansight", **conf: str) -> SparkSession:
+    """A session for local runs: few shuffle partitions, and small ones kept apart so
+    that all cores work. On a cluster use its own session; the jobs set nothing."""
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
@@ -16,6 +19,8 @@ def build_session(master: str = "local[8]", app: str = "vacansight", **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -24,6 +29,13 @@ def build_session(master: str = "local[8]", app: str = "vacansight", **conf: str
     return builder.getOrCreate()
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Fixed rows as a local relation: its size is known, and no Python worker is needed."""
+    names = [part.split()[0] for part in schema.split(",")]
+    columns = zip(*rows) if rows else [[] for _ in names]
+    return spark.createDataFrame(pa.table({n: list(c) for n, c in zip(names, columns)}), schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
@@ -57,6 +69,15 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def unfolded(df: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
+    """One row per element of a computed array.
+
+    ``explode`` makes Spark infer a filter on the array, which computes it again;
+    the outer form does not, and the empty rows are dropped afterwards.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def with_dense_ids(df: DataFrame, id_col: str, order_cols: list[str], start: Column | int = 0) -> DataFrame:
     """Number rows 1..n after ``start`` in ``order_cols`` order, without a global window.
 
@@ -74,7 +95,7 @@ def with_dense_ids(df: DataFrame, id_col: str, order_cols: list[str], start: Col
     within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = (
-        sizes.agg(F.array_sort(F.collect_list(F.struct("_part", "_n"))).alias("_all"))
+        sizes.agg(F.sort_array(F.collect_list(F.struct("_part", "_n"))).alias("_all"))
         .select(F.explode("_all").alias("_own"), "_all")
         .select(
             F.col("_own._part").alias("_part"),

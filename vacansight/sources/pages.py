@@ -145,7 +145,7 @@ def page_fields(pages: DataFrame, as_of: Column, rules: PageRules = POSTING_PAGE
 def page_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``page_id, pos, url`` of every link, in page order."""
     hrefs = F.regexp_extract_all(F.col(html_col), F.lit(r"""<a\s[^>]*?href=["']([^"']*)["']"""), F.lit(1))
-    return pages.select("page_id", F.posexplode(hrefs).alias("pos", "url"))
+    return pages.select("page_id", F.posexplode_outer(hrefs).alias("pos", "url")).filter(F.col("url").isNotNull())
 
 
 def discover_urls(links: DataFrame, site: str, order: list[str], limit: int | None = None) -> DataFrame:
