@@ -41,7 +41,29 @@ def skill_counts(t: Tables, postings: DataFrame) -> DataFrame:
     return counted(mentions(postings, "skill_ids", "skill_id"), "skill_id").join(t.skills, "skill_id")
 
 
+def _reference_totals(postings: DataFrame) -> DataFrame:
+    """One row, one struct: distinct skills and cities, and the number of skill mentions."""
+
+    def tagged(kind: str, ids: str) -> Column:
+        return F.transform(ids, lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("id")))
+
+    refs = postings.select(
+        F.explode_outer(F.concat(tagged("skill", "skill_ids"), tagged("city", "city_ids"))).alias("ref")
+    )
+    counts = refs.groupBy("ref.kind", "ref.id").agg(F.count(F.lit(1)).alias("n"))
+    is_skill = F.col("kind") == "skill"
+    return counts.agg(
+        F.struct(
+            F.count_if(is_skill).alias("skills"),
+            F.count_if(F.col("kind") == "city").alias("cities"),
+            F.coalesce(F.sum(F.when(is_skill, F.col("n"))), F.lit(0).cast("long")).alias("mentions"),
+        ).alias("totals")
+    )
+
+
 def summary(t: Tables, as_of: Column) -> DataFrame:
+    """The headline row. Plain columns, id arrays, qualification rows and the histogram
+    behind the median are each read once; the median is exact, from value counts."""
     week_ago = F.date_sub(as_of, 7)
     c = F.col
     facts = t.postings.agg(
@@ -54,22 +76,23 @@ def summary(t: Tables, as_of: Column) -> DataFrame:
         F.min("posted_date").alias("earliest_posting"),
         F.max("posted_date").alias("latest_posting"),
         F.max("openings").alias("max_openings"),
-        F.sum(F.coalesce(F.size("skill_ids"), F.lit(0))).alias("_skill_mentions"),
     )
-    distinct_skills = mentions(t.postings, "skill_ids", "id").agg(F.count_distinct("id"))
-    cities = mentions(t.postings, "city_ids", "id").agg(F.count_distinct("id"))
     educated = t.qualifications.agg(F.count_distinct("job_id"))
     histogram = t.postings.filter(c("openings").isNotNull()).groupBy("openings").agg(F.count(F.lit(1)).alias("n"))
     median = histogram.agg(F.percentile("openings", 0.5, F.col("n")))
-    return facts.select(
-        "*",
-        distinct_skills.scalar().alias("distinct_skills"),
-        cities.scalar().alias("cities_covered"),
-        educated.scalar().alias("postings_with_education"),
-        median.scalar().alias("median_openings"),
-        F.coalesce(rounded(c("_skill_mentions"), c("total_postings"), 2), F.lit(0.0)).alias("avg_skills_per_posting"),
-        F.coalesce(share_pct(c("postings_with_salary"), c("total_postings")), F.lit(0.0)).alias("salary_disclosure_pct"),
-    ).drop("_skill_mentions")
+    return (
+        facts.withColumn("_totals", _reference_totals(t.postings).scalar())
+        .select(
+            "*",
+            c("_totals.skills").alias("distinct_skills"),
+            c("_totals.cities").alias("cities_covered"),
+            educated.scalar().alias("postings_with_education"),
+            median.scalar().alias("median_openings"),
+            F.coalesce(rounded(c("_totals.mentions"), c("total_postings"), 2), F.lit(0.0)).alias("avg_skills_per_posting"),
+            F.coalesce(share_pct(c("postings_with_salary"), c("total_postings")), F.lit(0.0)).alias("salary_disclosure_pct"),
+        )
+        .drop("_totals")
+    )
 
 
 def skill_demand(t: Tables, limit: int | None = 25, include_blocked: bool = False, scope: Filters | None = None) -> DataFrame:
@@ -150,16 +173,22 @@ def openings_overflow(t: Tables, up_to: int = 20) -> DataFrame:
 
 
 def repost_groups(postings: DataFrame, hash_col: str = "description_hash", company_col: str = "company") -> DataFrame:
-    """Descriptions published word for word by more than one company."""
-    per_company = (
-        postings.filter(F.col(hash_col).isNotNull())
-        .groupBy(hash_col, company_col)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Descriptions published word for word by more than one company.
+
+    Per description and company first, so a description most postings share is one
+    row per company and task. Missing descriptions are sorted out at the end: a filter
+    on a hash that is still being computed would compute it twice.
+    """
+    per_company = postings.groupBy(hash_col, company_col).agg(F.count(F.lit(1)).alias("n"))
     return (
         per_company.groupBy(hash_col)
-        .agg(F.count(company_col).alias("companies"), F.sum("n").alias("postings"))
-        .filter(F.col("companies") > 1)
+        .agg(
+            F.count(company_col).alias("companies"),
+            F.sum("n").alias("postings"),
+            F.count(hash_col).alias("_stated"),
+        )
+        .filter((F.col("companies") > 1) & (F.col("_stated") > 0))
+        .drop("_stated")
     )
 
 

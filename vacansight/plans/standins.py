@@ -350,7 +350,7 @@ def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = choose(EXPERIENCE, key)
     years = F.replace(F.replace(years, F.lit("{a}"), a), F.lit("{b}"), b)
     pay = F.floor(F.col("o_totalprice") / 10000).cast("string")
-    return table(spark, sf_dir, "orders").select(
+    return texts(spark, sf_dir, "orders").select(
         key.alias("job_id"),
         title().alias("title"),
         F.concat(F.lit("  Company  "), (customer % 50).cast("string"), F.lit(" Ltd ")).alias("company"),
