@@ -147,6 +147,11 @@ def test_field_health(spark):
     assert {(r["run_id"], r["field"]) for r in health.field_health_history(log).collect()} == {(4, "b")}
 
 
+def test_logged_counts_read_from_json(spark):
+    df = spark.createDataFrame([('{"title": 3, "salary": 1}',), (None,)], "j string")
+    assert [r[0] for r in df.select(health.found_counts(F.col("j"))).collect()] == [{"title": 3, "salary": 1}, None]
+
+
 def test_fill_counts_skip_marks_and_empties(spark):
     raw = spark.createDataFrame(
         [("Dev", "not found", [], 2), ("Dev", "Acme", ["Python"], None)],

@@ -37,6 +37,11 @@ def field_fill_counts(raw: DataFrame, fields: list[str], group_cols: list[str] |
     )
 
 
+def found_counts(json_text: Column) -> Column:
+    """The counts of a run that were logged as a JSON object."""
+    return F.from_json(json_text, "map<string,int>")
+
+
 def run_list(runs: DataFrame, lookback: int = 20) -> DataFrame:
     """Latest runs with their duration in seconds."""
     return (

@@ -749,3 +749,5 @@ SELECT 'https://www.site.example.org' || url AS url, min(page_id) AS page_id, ar
 WHERE starts_with(url, '/') AND NOT contains(url, ' ') GROUP BY 1 ORDER BY page_id, pos LIMIT 50"""
 SQL["stream_daily_counts"] = with_(DAILY) + "SELECT * FROM daily"
 SQL["stream_first_sightings"] = "SELECT DISTINCT user_id, event_type FROM events"
+SQL["stream_distinct_daily_counts"] = with_(DAILY) + """
+SELECT * FROM daily WHERE snapshot_date + 1 <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -94,18 +94,8 @@ def with_dense_ids(df: DataFrame, id_col: str, order_cols: list[str], start: Col
     part = F.shiftright(F.col("_place"), 33)
     within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = (
-        sizes.agg(F.sort_array(F.collect_list(F.struct("_part", "_n"))).alias("_all"))
-        .select(F.explode("_all").alias("_own"), "_all")
-        .select(
-            F.col("_own._part").alias("_part"),
-            F.aggregate(
-                F.filter("_all", lambda s: s["_part"] < F.col("_own._part")),
-                F.lit(0).cast("long"),
-                lambda acc, s: acc + s["_n"],
-            ).alias("_before"),
-        )
-    )
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long")).alias("_before"))
     first = F.lit(start) if isinstance(start, int) else start
     return (
         placed.withColumn("_part", part)

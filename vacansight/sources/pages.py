@@ -155,6 +155,8 @@ def discover_urls(links: DataFrame, site: str, order: list[str], limit: int | No
     a link on every page is one row per task in the shuffle.
     """
     onsite = links.filter(F.try_parse_url("url", F.lit("AUTHORITY")).contains(site))
-    first = onsite.groupBy("url").agg(F.min(F.struct(*order)).alias("_first"))
-    ordered = first.orderBy("_first").select("url", *[F.col(f"_first.{o}").alias(o) for o in order])
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    first = onsite.groupBy("url").agg(F.min(place).alias("_first"))
+    shown = [F.col("_first").alias(order[0])] if len(order) == 1 else [F.col(f"_first.{o}").alias(o) for o in order]
+    ordered = first.orderBy("_first").select("url", *shown)
     return ordered if limit is None else ordered.limit(limit)

@@ -14,7 +14,7 @@ from vacansight.streaming import windows
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("skill", F.get_json_object("props", "$.k"))
+    return rows.withColumns({"ts": windows.utc_instant("ts"), "skill": F.get_json_object("props", "$.k")})
 
 
 def _fresh_dir(spark: SparkSession) -> str:
@@ -34,4 +34,17 @@ def stream_first_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("user_id long, event_type string").parquet(f"{base}/rows")
 
 
-QUERIES = {"stream_daily_counts": stream_daily_counts, "stream_first_sightings": stream_first_sightings}
+def stream_distinct_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the days the watermark has passed; every event is sent twice."""
+    base = _fresh_dir(spark)
+    twice = _events(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    counts = windows.distinct_daily_counts(twice, "ts", "skill", "event_id")
+    windows.first_rows_to_table(counts, f"{base}/rows", f"{base}/progress")
+    return spark.read.schema("snapshot_date date, skill string, posting_count long").parquet(f"{base}/rows")
+
+
+QUERIES = {
+    "stream_daily_counts": stream_daily_counts,
+    "stream_distinct_daily_counts": stream_distinct_daily_counts,
+    "stream_first_sightings": stream_first_sightings,
+}

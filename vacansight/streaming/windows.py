@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def utc_instant(c: str) -> Column:
+    """A zone-less time read as UTC. Watermarks need an instant; a cast would read the
+    time in the session's own zone."""
+    return F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', {c}))")
+
+
+def utc_day(c: Column) -> Column:
+    return F.date_from_unix_date(F.floor(F.unix_seconds(c) / 86400).cast("int"))
+
+
 def drop_repeats(stream: DataFrame, keys: list[str], time_col: str, horizon: str) -> DataFrame:
     """First sighting of each key; a key is forgotten ``horizon`` after it was last kept."""
     return stream.withWatermark(time_col, horizon).dropDuplicatesWithinWatermark(keys)
@@ -17,7 +27,23 @@ def daily_counts(stream: DataFrame, time_col: str, key_col: str, lateness: str =
         stream.withWatermark(time_col, lateness)
         .groupBy(F.window(time_col, "1 day").alias("day"), F.col(key_col).alias("skill"))
         .agg(F.count(F.lit(1)).alias("posting_count"))
-        .select(F.col("day.start").cast("date").alias("snapshot_date"), "skill", "posting_count")
+        .select(utc_day(F.col("day.start")).alias("snapshot_date"), "skill", "posting_count")
+    )
+
+
+def distinct_daily_counts(
+    stream: DataFrame, time_col: str, key_col: str, id_col: str, lateness: str = "1 day"
+) -> DataFrame:
+    """Daily counts where a repeated id counts once.
+
+    A stream cannot count distinct ids exactly, so repeats are dropped first. Days come
+    out once the watermark has passed them (``append`` mode), the last ones later.
+    """
+    once = drop_repeats(stream, [id_col, key_col], time_col, lateness)
+    return (
+        once.groupBy(F.window(time_col, "1 day").alias("day"), F.col(key_col).alias("skill"))
+        .agg(F.count(F.lit(1)).alias("posting_count"))
+        .select(utc_day(F.col("day.start")).alias("snapshot_date"), "skill", "posting_count")
     )
 
 
