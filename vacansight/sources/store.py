@@ -59,15 +59,17 @@ class Store:
         rows.write.mode("append").parquet(self.path(name))
 
     def replace_buckets(self, name: str, rows: DataFrame) -> None:
-        """Overwrites the buckets present in ``rows``; one task writes one bucket."""
+        """Overwrites the buckets present in ``rows``."""
         self._replace(name, rows, "bucket")
 
     def replace_days(self, rows: DataFrame) -> None:
         self._replace("daily_counts", rows, "snapshot_date")
 
     def _replace(self, name: str, rows: DataFrame, by: str) -> None:
+        """Rebalanced, not repartitioned: adaptive execution splits a large bucket over
+        several tasks and files and puts small ones together."""
         (
-            rows.repartition(by)
+            rows.hint("rebalance", F.col(by))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(by)
