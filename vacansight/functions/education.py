@@ -32,8 +32,11 @@ def qualification_levels(education: Column) -> Column:
 
 
 def specialization(c: Column) -> Column:
-    text = F.regexp_replace(strip(c), r"\bAnd\b", "and")
-    return F.coalesce(look_up(SPECIALIZATION_ALIASES, F.lower(text)), text)
+    def agreed(text: Column) -> Column:
+        worded = F.when(text.contains("And"), F.regexp_replace(text, r"\bAnd\b", "and")).otherwise(text)
+        return F.coalesce(look_up(SPECIALIZATION_ALIASES, F.lower(text)), worded)
+
+    return let(strip(c), agreed)
 
 
 def degree_names(wording: Column) -> Column:
@@ -119,5 +122,8 @@ def degrees_in(text: Column, block_level: Column) -> Column:
 
 def degree_breakdown(education: Column) -> Column:
     """All degrees of the whole education block."""
-    per_level = F.transform(F.map_entries(education), lambda e: degrees_in(F.coalesce(e["value"], F.lit("")), level_of(e["key"])))
+    per_level = F.transform(
+        F.map_entries(education),
+        lambda e: let(level_of(e["key"]), lambda level: degrees_in(F.coalesce(e["value"], F.lit("")), level)),
+    )
     return F.coalesce(F.flatten(per_level), F.array().cast(NO_DEGREES))
