@@ -199,7 +199,8 @@ def labelled(blocks: list[tuple], weights: np.ndarray) -> list[bool]:
 def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample: int = 500, pull: float = 0.02, steps: int = 300) -> np.ndarray:
     """Logistic weights: nearest the prior that explain the evident blocks of ``sample`` pages, taken in the
     order of a hash of the id. Without such blocks the prior stands."""
-    picked = pages.where(F.col(html_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).select(html_col).limit(sample)
+    some = pages.select(F.col(id_col).alias("_id")).where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(sample).distinct()
+    picked = pages.join(F.broadcast(some), pages[id_col] == some["_id"], "left_semi").select(html_col)  # at most ``sample`` ids
 
     def start():
         def work(texts):
