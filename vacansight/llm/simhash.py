@@ -101,8 +101,9 @@ def edited(docs: DataFrame) -> DataFrame:
     id has several texts, the next document is the smallest of them. A row without id has no
     next document, and its last quarter is dropped.
     """
-    text = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    sizes = text.select("id", F.char_length("text").alias("n")).where("id is not null").groupBy("id").agg(F.max("n").alias("n"))
+    every = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    text = every.where("id is not null")  # in both joins below, so that they share one exchange of the texts
+    sizes = text.select("id", F.char_length("text").alias("n")).groupBy("id").agg(F.max("n").alias("n"))
     ranked = cut_lineage(with_dense_ids(sizes, "rank", ["id"]))
     last = ranked.agg(F.max("rank")).first()[0] or 1
     after = ranked.select(F.col("id").alias("next"), F.col("rank").alias("_r"))
@@ -111,6 +112,8 @@ def edited(docs: DataFrame) -> DataFrame:
     begins = text.join(follows.select(F.col("id").alias("before"), F.col("next").alias("id"), "need"), "id")
     begins = begins.groupBy("before").agg(F.min(F.expr("substring(text, 1, need)")).alias("begin"))
     out = text.join(begins.select(F.col("before").alias("id"), "begin"), "id", "left").join(follows.select("id", "next"), "id", "left")
+    alone = every.where("id is null").withColumns({"begin": F.lit(""), "next": F.lit(None).cast(out.schema["next"].dataType)})
+    out = out.unionByName(alone)
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     out = out.withColumn("n_chars", n.cast("long")).withColumn("_q", quarter).withColumn("begin", F.coalesce("begin", F.lit("")))
@@ -126,7 +129,7 @@ def compare(docs: DataFrame, radius: int = RADIUS, every: int = 100) -> DataFram
     """
     rows = edited(docs)
     both = rows.select(
-        "id", "next", "n_chars", F.xxhash64("text").alias("th"), F.sha2(F.encode("changed", "UTF-8"), 256).alias("edited_sha256"),
+        "id", "next", "n_chars", F.xxhash64("text").alias("th"), F.unhex(F.sha2(F.encode("changed", "UTF-8"), 256)).alias("edited_sha256"),
         F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("changed").alias("t")))).alias("x"),
     ).select("id", "next", "n_chars", "th", "edited_sha256", "x.v", "x.t")
     key = ["id", "next", "n_chars", "th", "edited_sha256"]
@@ -139,7 +142,7 @@ def compare(docs: DataFrame, radius: int = RADIUS, every: int = 100) -> DataFram
     around = near(asked, per_fp, radius).join(per_fp.withColumnRenamed("fp", "other"), "other").groupBy(F.col("query").alias("fp")).agg((F.sum("n") - 1).alias("n_near"))
     out = done.join(follow, "next", "left").join(around, "fp", "left").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(
-        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", shown(F.col("fp")).alias("fingerprint"), shown(F.col("edited")).alias("edited_fingerprint"),
+        F.col("id").alias("doc_id"), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), shown(F.col("fp")).alias("fingerprint"), shown(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
         F.when(F.col("id") % every == 0, F.col("n_near")).alias("n_near"),
     )
