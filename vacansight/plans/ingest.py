@@ -96,16 +96,26 @@ def _with_ids(store: Store, batch: DataFrame) -> DataFrame:
     return out.withColumns({a: F.coalesce(a, none) for a in arrays})
 
 
-def _touched_buckets(batch: DataFrame) -> Column:
-    """Filter on the batch's buckets; at most as many values as the store has buckets."""
-    return F.col("bucket").isin([row["bucket"] for row in batch.select("bucket").distinct().collect()])
+def _touched_buckets(batch: DataFrame) -> list[int]:
+    """The batch's buckets; at most as many as the store has."""
+    return [row["bucket"] for row in batch.select("bucket").distinct().collect()]
+
+
+def _levels(batch: DataFrame) -> DataFrame:
+    """One row per posting and level. Texts of a level that is stated twice are joined in their order."""
+    each = batch.select("fingerprint", F.posexplode("qualifications").alias("at", "q")).select("fingerprint", "at", "q.*")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("at", "field_of_study"))), lambda x: x["field_of_study"])
+    return each.groupBy("fingerprint", "level").agg(F.array_join(texts, ", ").alias("field_of_study"))
 
 
 def ingest_batch(store: Store, raw: DataFrame, as_of: date, batch_id: int) -> DataFrame:
     """Cleans, merges and snapshots one batch; returns its new and repeat counts.
 
-    Applying the same batch again changes nothing. ``raw`` carries ``batch_pos``.
+    Applying the same batch again changes nothing: one that is in the batch table was stored
+    whole and is passed over, one that broke off is repaired. ``raw`` carries ``batch_pos``.
     """
+    if not store.read("batches").filter(F.col("batch_id") == batch_id).isEmpty():
+        return batch_counts(store.read("postings"), batch_id)
     today = F.lit(as_of).cast("date")
     cleaned = clean_postings(raw, store.read("cities"))
     first = first_sightings(cleaned, ["fingerprint"], ["batch_pos"])
@@ -114,21 +124,19 @@ def ingest_batch(store: Store, raw: DataFrame, as_of: date, batch_id: int) -> Da
     _register(store, batch)
     stored = store.read("postings")
     touched = _touched_buckets(batch)
-    current = stored.filter(touched)
+    current = stored.filter(F.col("bucket").isin(touched))
     highest = stored.agg(F.coalesce(F.max("job_id"), F.lit(0).cast("long"))).scalar()
     ids = new_job_ids(current, batch, "fingerprint", ["batch_pos"], highest)
     merged = cut_lineage(merge_batch(current, _with_ids(store, batch), ids, today, batch_id))
 
     mine = merged.filter(F.col("last_batch_id") == batch_id).select("job_id", "fingerprint", "bucket")
-    levels = batch.select("fingerprint", F.explode("qualifications").alias("q")).select("fingerprint", "q.*")
-    fresh = mine.join(levels, "fingerprint").dropDuplicates(["job_id", "level"])
-    children = cut_lineage(rebuild_children(store.read("qualifications").filter(touched), mine, fresh))
+    fresh = mine.join(_levels(batch), "fingerprint")
+    children = cut_lineage(rebuild_children(store.read("qualifications").filter(F.col("bucket").isin(touched)), mine, fresh))
 
-    store.replace_buckets("postings", merged)
-    store.replace_buckets("qualifications", children)
+    store.replace_buckets("postings", merged, touched)
+    store.replace_buckets("qualifications", children, touched)
     snapshot_today(store, as_of)
-    if store.read("batches").filter(F.col("batch_id") == batch_id).isEmpty():
-        store.append("batches", store.spark.createDataFrame([(batch_id, as_of)], "batch_id long, as_of date"))
+    store.append("batches", store.spark.createDataFrame([(batch_id, as_of)], "batch_id long, as_of date"))
     return batch_counts(merged, batch_id)
 
 

@@ -58,9 +58,14 @@ class Store:
     def append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self.path(name))
 
-    def replace_buckets(self, name: str, rows: DataFrame) -> None:
-        """Overwrites the buckets present in ``rows``."""
+    def replace_buckets(self, name: str, rows: DataFrame, touched: list[int]) -> None:
+        """Overwrites the touched buckets; one that has no rows any more is emptied."""
         self._replace(name, rows, "bucket")
+        filled = {r["bucket"] for r in rows.select("bucket").distinct().collect()}
+        old = {r["bucket"] for r in self.read(name).filter(F.col("bucket").isin(touched)).select("bucket").distinct().collect()}
+        nothing = self.spark.createDataFrame([], BUCKETED[name])
+        for number in sorted(old - filled):
+            nothing.write.mode("overwrite").parquet(f"{self.path(name)}/bucket={number}")
 
     def replace_days(self, rows: DataFrame) -> None:
         self._replace("daily_counts", rows, "snapshot_date")

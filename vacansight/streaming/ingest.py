@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vacansight.plans.ingest import ingest_batch
+from vacansight.sources.raw import positioned
 from vacansight.sources.store import Store
 
 
@@ -23,7 +24,7 @@ def ingest_stream(
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        ordered = batch.withColumn("batch_pos", F.monotonically_increasing_id())
+        ordered = positioned(batch, F.col("source_place")).drop("source_place")
         ingest_batch(store, ordered, as_of(), first_batch_id + number)
 
     return (
