@@ -76,8 +76,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     half = lambda at: F.conv(F.substring("x.key", at, 16), 16, -10).cast("long")
     each = stored(each.select("id", "row", F.col("x.first").cast("int").alias("first"), F.col("x.last").cast("int").alias("last"), half(1).alias("k1"), half(17).alias("k2")))
     place = F.struct(F.col("id").isNull().alias("void"), "id", "row", "first")
-    seen = each.groupBy("k1", "k2").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("c")).where("c > 1").select("k1", "k2", "origin")
-    met = dealt_join(each, seen, ["k1", "k2"], "row", "inner")
+    # half of the hash is enough to tell which runs may repeat; only these are looked at further
+    maybe = each.groupBy("k1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k1")
+    some = cut_lineage(dealt_join(each, maybe, ["k1"], "row", "inner"))
+    seen = some.groupBy("k1", "k2").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("c")).where("c > 1").select("k1", "k2", "origin")
+    met = dealt_join(some, seen, ["k1", "k2"], "row", "inner")
     later = met.where(~place.eqNullSafe(F.col("origin")))
     return later.groupBy("id", "row").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
 
