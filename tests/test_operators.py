@@ -201,3 +201,16 @@ def test_discovery(spark):
         ("https://www.site.com/a", 0), ("https://www.site.com/b", 2),
     ]
     assert pages.discover_urls(links, "site.com", ["pos"], limit=1).count() == 1
+
+
+def test_page_text_is_whole_and_keeps_its_lines(spark):
+    html = (
+        '<body><script>var d = "</div>";</script><div class="description"><div><p>Key Responsibilities</p><p>Build&nbsp;Python &amp; <b>SQL</b></p></div>'
+        "<!-- </div> --><div>Requirements<br>Docker &#8211; 2&#x2B; years &unknown; &amp;lt;</div></div><div>after</div></body>"
+    )
+    df = spark.createDataFrame([(html,), ('<div class="description">never <div>closed</div> here',), ("<p>none</p>",), (None,)], "html string")
+    rules = pages.PageRules(texts={"description": pages.element("div", "description")})
+    found = [r["description"] for r in pages.extract_fields(df, rules).collect()]
+    assert found[0].split("\n") == ["Key Responsibilities", "Build Python & SQL", "Requirements", "Docker – 2+ years &unknown; &lt;"]
+    assert found[1].split("\n") == ["never", "closed", "here"]
+    assert found[2:] == [None, None]

@@ -67,9 +67,41 @@ def initcap_runs(c: Column) -> Column:
     return F.array_join(cased, "")
 
 
+# Elements that stand on lines of their own, elements that are never shown, and the usual named characters.
+BLOCK_TAGS = """address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
+header hr li main nav ol option p pre section table tbody td tfoot th thead title tr ul""".split()
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\z)"
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "\u00a9", "reg": "\u00ae", "trade": "\u2122",
+    "middot": "\u00b7", "bull": "\u2022", "hellip": "\u2026", "ndash": "\u2013", "mdash": "\u2014", "lsquo": "\u2018", "rsquo": "\u2019",
+    "ldquo": "\u201c", "rdquo": "\u201d", "laquo": "\u00ab", "raquo": "\u00bb", "times": "\u00d7", "deg": "\u00b0", "euro": "\u20ac", "pound": "\u00a3",
+}
+
+
+def visible_html(c: Column) -> Column:
+    """HTML without comments, scripts and styles."""
+    return F.regexp_replace(c, HIDDEN, "")
+
+
+def decoded(c: Column) -> Column:
+    """Character references resolved once: numbers, and the names in ``ENTITIES``. What names no character stays as it is."""
+
+    def piece(part: Column, i: Column) -> Column:
+        name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+);", 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).try_cast("int")
+        legal = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        char = F.when(legal, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        char = F.when(name.startswith("#"), char).otherwise(look_up(ENTITIES, name))
+        rest = F.concat(char, F.substr(part, F.char_length(name) + 2))
+        return F.when(i == 0, part).otherwise(F.coalesce(rest, F.concat(F.lit("&"), part)))
+
+    return F.when(c.contains("&"), F.array_join(F.transform(F.split(c, "&"), piece), "")).otherwise(c)
+
+
 def strip_tags(c: Column) -> Column:
-    """Visible text of an HTML fragment: tags dropped, the common entities resolved."""
-    text = F.regexp_replace(c, "(?s)<[^>]*>", "")
-    for entity, char in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return strip(text)
+    """Text of an HTML fragment as a reader sees it: a line break at every block, inline tags dropped, white space run together,
+    scripts, styles and comments left out, character references resolved."""
+    text = F.regexp_replace(visible_html(c), r"[ \t\n\x0b\f\r]+", " ")
+    text = F.regexp_replace(text, rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?=[\s/>])[^>]*>", "\n")
+    text = F.regexp_replace(text, "</?[A-Za-z!][^>]*>", "")
+    return strip(decoded(F.regexp_replace(text, " *\n[ \n]*", "\n")))

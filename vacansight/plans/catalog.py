@@ -40,7 +40,7 @@ DOC_VOCABULARY = {
     "Never": ["zzzz"],
 }
 PAGE_RULES = page_jobs.PageRules(
-    texts={"title": page_jobs.element("title"), "heading": page_jobs.element("h1")},
+    texts={"title": page_jobs.element("title"), "heading": page_jobs.element("h1"), "body": page_jobs.element("body"), "advert": page_jobs.element("div")},
     lists={"items": page_jobs.element("li")},
 )
 MAP_PLACES = [(0, 12.5, 77.25), (3, 17.0, 78.5), (7, 19.25, 72.75), (24, 28.5, 77.0)]
@@ -774,7 +774,7 @@ def cleaned_postings(spark, sf):
 @query
 def page_fields(spark, sf):
     found = page_jobs.extract_fields(standins.texts(spark, sf, "pages"), PAGE_RULES)
-    return flat(found.select("page_id", "title", "heading", "items"))
+    return flat(found.select("page_id", "title", "heading", "items", "body", "advert"))
 
 
 @query

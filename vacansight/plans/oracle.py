@@ -7,6 +7,7 @@ there is one: links instead of arrays, self joins instead of pairs within a row.
 from __future__ import annotations
 
 from vacansight import vocab
+from vacansight.functions.text import BLOCK_TAGS
 from vacansight.plans import catalog, standins
 
 
@@ -724,9 +725,16 @@ LEFT JOIN degrees_of u ON u.block = 'UG' AND u.txt = ug LEFT JOIN degrees_of p O
 
 
 def _visible(x: str) -> str:
-    out = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    for entity, char in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&amp;", "'&'")):
-        out = f"replace({out}, '{entity}', {char})"
+    """Cut at every tag, each piece looked at alone; then references by replacement."""
+    tags = ", ".join(f"'{t}'" for t in BLOCK_TAGS)
+    name = "regexp_extract(p, '^/?([A-Za-z0-9]+)', 1)"
+    after = "substr(p, strpos(p, '>') + 1)"
+    shown = f"regexp_replace({x}, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g')"
+    cut = f"string_split(regexp_replace({shown}, '\\s+', ' ', 'g'), '<')"
+    pieces = f"list_transform({cut}, lambda p, i: CASE WHEN i = 1 THEN p WHEN list_contains([{tags}], lower({name})) THEN chr(10) || {after} ELSE {after} END)"
+    out = f"regexp_replace(array_to_string({pieces}, ''), ' *\\n[ \\n]*', chr(10), 'g')"
+    for entity, char in (("nbsp", 160), ("lt", 60), ("gt", 62), ("quot", 34), ("middot", 183), ("copy", 169), ("amp", 38)):
+        out = f"replace({out}, '&{entity};', chr({char}))"
     return f"regexp_replace({out}, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
@@ -737,7 +745,9 @@ def _element(tag: str) -> str:
 SQL["page_fields"] = f"""
 SELECT page_id, NULLIF({_visible(f"regexp_extract(html, {_element('title')}, 1)")}, '') AS title,
   NULLIF({_visible(f"regexp_extract(html, {_element('h1')}, 1)")}, '') AS heading,
-  array_to_string(list_filter(list_transform(regexp_extract_all(html, {_element('li')}, 1), lambda x: {_visible('x')}), lambda x: x <> ''), '|') AS items
+  array_to_string(list_filter(list_transform(regexp_extract_all(html, {_element('li')}, 1), lambda x: {_visible('x')}), lambda x: x <> ''), '|') AS items,
+  NULLIF({_visible("string_split(string_split(html, '<body>')[2], '</body>')[1]")}, '') AS body,
+  NULLIF({_visible(f"regexp_extract(html, {_element('div')}, 1)")}, '') AS advert
 FROM pages"""
 _HREFS = "regexp_extract_all(html, '<a\\s[^>]*?href=[\"'']([^\"'']*)[\"'']', 1)"
 SQL["page_links"] = f"SELECT page_id, CAST(generate_subscripts({_HREFS}, 1) - 1 AS INTEGER) AS pos, unnest({_HREFS}) AS url FROM pages"

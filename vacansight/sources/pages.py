@@ -1,18 +1,21 @@
 """Posting pages: labelled fields out of stored HTML, and the links worth following.
 
-Fields are found with patterns over the whole page; the pages of a site are given as
-``PageRules``. Nested elements of the same tag inside a field are not followed.
+Fields are found with patterns over the page without scripts, styles and comments; the
+pages of a site are given as ``PageRules``. A field that is one element ends at the closing
+tag of that element, whatever is nested in it, or at the end of the page if it is never closed.
+Members of a list (chips, badges, items) end at their first closing tag.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacansight.functions import parsing, skills
-from vacansight.functions.text import strip, strip_tags
+from vacansight.functions.text import let, strip, strip_tags, visible_html
 from vacansight.vocab import MISSING, SKILL_PATTERNS
 
 
@@ -71,8 +74,37 @@ POSTING_PAGE = PageRules(
 )
 
 
+def inner_html(html: Column, pattern: str) -> Column:
+    """What stands in the first place of ``pattern``, '' where it is nowhere.
+
+    For a pattern of ``element`` this is all up to the tag that closes the element: the rest of the page is cut at the tags
+    of that name, and one pass over these tags, with two numbers as its state, finds where the depth is back at 0.
+    """
+    opening, marker, closing = pattern.rpartition("(.*?)</")
+    if not marker or not re.fullmatch("[a-z0-9]+>", closing):
+        return F.regexp_extract(html, pattern, 1)
+    tag = rf"(?i)<{closing[:-1]}(?=[\s>])[^>]*>|</{closing[:-1]}\s*>"
+    rest = F.regexp_extract(html, rf"{opening}(.*)\z", 1)
+
+    def cut(x: Column) -> Column:
+        marks = F.regexp_extract_all(x, F.lit(tag), F.lit(0))
+        step = lambda acc, m: F.when(acc["depth"] == 0, acc).otherwise(
+            F.struct((acc["depth"] + F.when(m.startswith("</"), -1).otherwise(1)).alias("depth"), (acc["at"] + 1).alias("at"))
+        )
+        end = F.aggregate(marks, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at")), step)
+
+        def upto(e: Column) -> Column:
+            pieces = F.slice(F.arrays_zip(F.split(x, tag).alias("text"), marks.alias("mark")), 1, e["at"])
+            joined = F.transform(pieces, lambda p, i: F.when(i + 1 < e["at"], F.concat(p["text"], p["mark"])).otherwise(p["text"]))
+            return F.when(e["depth"] > 0, x).otherwise(F.array_join(joined, ""))
+
+        return let(end, upto)
+
+    return let(rest, cut)
+
+
 def text_of(html: Column, pattern: str) -> Column:
-    return F.nullif(strip_tags(F.regexp_extract(html, pattern, 1)), F.lit(""))
+    return F.nullif(strip_tags(inner_html(html, pattern)), F.lit(""))
 
 
 def texts_of(html: Column, pattern: str) -> Column:
@@ -82,7 +114,7 @@ def texts_of(html: Column, pattern: str) -> Column:
 
 def extract_fields(pages: DataFrame, rules: PageRules, html_col: str = "html") -> DataFrame:
     """Adds one column per rule; what is not on the page is NULL or empty."""
-    html = F.col(html_col)
+    html = visible_html(F.col(html_col))
     columns = {name: text_of(html, pattern) for name, pattern in rules.texts.items()}
     columns |= {name: texts_of(html, pattern) for name, pattern in rules.lists.items()}
     columns |= {
@@ -93,7 +125,7 @@ def extract_fields(pages: DataFrame, rules: PageRules, html_col: str = "html") -
 
 
 def education_block(html: Column, pattern: str) -> Column:
-    block = F.regexp_extract(html, pattern, 1)
+    block = inner_html(visible_html(html), pattern)
     labels = F.transform(
         F.regexp_extract_all(block, F.lit(LABELLED), F.lit(1)),
         lambda l: strip(F.regexp_replace(strip_tags(l), ":+$", "")),
