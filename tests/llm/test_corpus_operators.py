@@ -103,6 +103,29 @@ def test_repeated_passages_go_except_the_first(spark):
     assert spans.strip(docs.limit(0)).count() == 0
 
 
+def all_runs(words):
+    """(first, after the last) of every run by its definition, from the words of each sentence."""
+    out = [(a, a + 1) for a in range(len(words)) if len(words[a]) >= spans.LONG_WORDS]
+    for a in range(len(words)):
+        ends = [b for b in range(a + spans.RUN_SENTENCES, len(words) + 1) if sum(map(len, words[a:b])) >= spans.RUN_WORDS]
+        out += [(a, b) for b in ends[:1]]
+    return sorted(out)
+
+
+def test_the_sentence_after_a_long_one_goes_with_it(spark):
+    rng = random.Random(18)
+    line = lambda n: prose(rng, n) + "."
+    for _ in range(50):
+        pieces = [line(rng.choice([1, 6, 19, 39, 40, 45])) for _ in range(rng.randint(0, 8))]
+        assert sorted((a, b) for a, b, _ in spans.runs(pieces)) == all_runs([p.split() for p in pieces])
+    pair, single = line(45) + " " + line(10), line(50)
+    texts = [pair, line(7) + " " + pair + " " + line(8), line(12) + " " + line(30) + " " + pair, single + " " + line(9), single + " " + line(9)]
+    copy = texts[2]
+    got = {r["doc_id"]: r["text"] for r in spans.strip(frame(spark, [*texts, copy])).collect()}
+    parts = [spans.sentences(t) for t in texts]
+    assert got == {0: pair, 1: parts[1][0] + parts[1][3], 2: parts[2][0] + parts[2][1], 3: texts[3], 4: parts[4][1], 5: ""}
+
+
 def test_fingerprints(spark):
     rng = random.Random(9)
     texts = [prose(rng, 80), None, "", "one", prose(rng, 40) + " é漢", "same text here", "same text here"]

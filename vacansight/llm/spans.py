@@ -1,7 +1,7 @@
 """Repeated passages, by sliding sentence spans.
 
 From every sentence on, the shortest run of consecutive sentences with at least ``RUN_WORDS`` words
-and ``RUN_SENTENCES`` sentences is hashed; a single sentence of ``LONG_WORDS`` words is a run by itself.
+and ``RUN_SENTENCES`` sentences is hashed; a single sentence of ``LONG_WORDS`` words is a run by itself besides.
 Hashes meet globally. A run that occurs before, in an earlier document or earlier in the same one,
 takes its sentences out of the document.
 """
@@ -44,7 +44,7 @@ def runs(pieces: list[str], words: int = RUN_WORDS, least: int = RUN_SENTENCES,
             b += 1
         if counts[a] >= long_:
             out.append((filled[a], filled[a] + 1, xxhash.xxh3_128_hexdigest(marks[a])))
-        elif n >= words and b - a >= least:
+        if n >= words and b - a >= least and (b - a > 1 or counts[a] < long_):
             out.append((filled[a], filled[b - 1] + 1, xxhash.xxh3_128_hexdigest(b"".join(marks[a:b]))))
         n -= counts[a]
     return out
