@@ -132,6 +132,42 @@ def test_contaminated_pairs_with_substitutions(spark):
     assert decontam.clean(rows(spark, texts), bench.limit(0)).count() == len(texts)
 
 
+def substituted(rng, words, places):
+    return [f"zz{rng.randrange(10**9)}" if j in places else w for j, w in enumerate(words)]
+
+
+def test_passages_with_many_substitutions(spark):
+    rng = random.Random(22)
+    words = [f"w{i}" for i in range(5000)]
+    items = [(i, rng.choices(words, k=n)) for i, n in enumerate([45, 45, 30, 12, 10, 9, 8, 8, 7])]
+    texts = [" ".join(rng.choices(words, k=50) + substituted(rng, ws, range(2, len(ws), 3)) + rng.choices(words, k=50)) for _, ws in items]
+    texts.append(" ".join(rng.choices(words, k=50) + substituted(rng, items[7][1], (1, 4, 7))))  # 5 of 8 words are too few
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["first_word"], r["last_word"], r["n_match"]) for r in decontam.pairs(rows(spark, texts), bench).collect()}
+    want = {}
+    for i, ws in items[:8]:
+        good = [j for j in range(len(ws)) if j % 3 != 2]
+        want[i, i] = (50, 50 + good[-1] + 1, len(good))
+    assert got == want
+
+
+def test_what_the_seeds_find_is_kept_up_to_three_substitutions_in_ten():
+    rng = random.Random(23)
+    for n, rate in ((30, 0.2), (30, 0.25), (45, 0.3), (9, 0.2), (12, 0.3)):
+        found = seen = 0
+        for _ in range(200):
+            item = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            gone = {j for j in range(n) if rng.random() < rate}
+            seeds = decontam.Seeds([(1, " ".join(item))])
+            text = " ".join(f"o{rng.randrange(10**9)}" for _ in range(20)) + " " + " ".join(substituted(rng, item, gone))
+            hit = bool(seeds.diagonals(np.array([seeds.vocab.get(w, 0) for w in words_of(text)], np.int64)))
+            if n - len(gone) >= max(13, n / 2) if n >= 13 else n - len(gone) >= 2 * n / 3:
+                seen += hit
+                found += bool(seeds.hits([text])[0])
+                assert hit or n >= 13
+        assert found == seen > 100
+
+
 PAGE = """<html><head><title>t</title><script>var x = "<p>no</p>";</script></head><body><nav><a href=/>Home</a></nav>
 <div class="cookie-notice"><p>We use cookies, as all do. Fine?</p></div><article><h1>Big  news &amp; more</h1><p>One long paragraph, with
 words enough to count. It goes on.<aside>Read this too</aside><p>Next &eacute;ntry<br>line.<div class='ad'>Buy</div></article>

@@ -2,13 +2,15 @@
 
 A seed is a mask over consecutive words that ignores some places, so a hit survives
 substituted words there. Seeds of the test items and of the documents meet by hash; around a hit
-the item is laid along the document and the best-scoring stretch, a point for a match and
-two off for a substitution, is the overlap. Test items are taken in blocks of bounded size,
+the item is laid along the document: if enough of all its words match there, they are the overlap,
+otherwise the best-scoring stretch is, a point for a match and one off for a substitution. Test items are taken in blocks of bounded size,
 each of which goes to all tasks, so documents are never shuffled.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +19,12 @@ from vacansight.llm.common import mapped, words_of
 
 #: Places that count (1) and are ignored (0); together they bear a substitution in every third, fourth or fifth word.
 MASKS = ("1110111", "11011011", "111101111", "1101011011")
-OVERLAP = 13  #: matching words that make an overlap; a shorter item must match whole
-SHARE = 0.5  #: or this share of an item's words
+#: For items of ``WHOLE`` to ``OVERLAP`` - 1 words: shorter ones, of which any that leaves the words asked for is hit.
+SHORT_MASKS = ("1111", "11011", "11101", "10111", "110011", "110101", "110000011")
+OVERLAP = 13  #: matching words in a stretch that make an overlap
+SHARE = 0.5  #: or this share of an item's words, 8 at least
+SHORT_SHARE = 2 / 3  #: this share of an item that has fewer than ``OVERLAP`` words
+WHOLE = 8  #: an item with fewer words must match whole
 BLOCK_WORDS = 500_000  #: words of test items that are sent out together
 
 
@@ -33,11 +39,14 @@ class Seeds:
         self.number = np.concatenate([[0], rng.integers(1, 2**62, len(self.vocab))]).astype(np.uint64)
         self.power = (rng.integers(1, 2**62, 64) * 2 + 1).astype(np.uint64)
         short = sorted({len(ws) for _, ws in self.items if len(ws) < min(map(len, MASKS))})
-        self.masks = [np.flatnonzero([c == "1" for c in m]) for m in MASKS] + [np.arange(n) for n in short]
+        some = SHORT_MASKS if any(WHOLE <= len(ws) < OVERLAP for _, ws in self.items) else ()
+        self.masks = [np.flatnonzero([c == "1" for c in m]) for m in (*MASKS, *some)] + [np.arange(n) for n in short]
         self.tables = []
-        for mask in self.masks:
+        for at, mask in enumerate(self.masks):
             keys, where = [], []
             for j, (_, ids) in enumerate(self.items):
+                if len(MASKS) <= at < len(MASKS) + len(some) and not WHOLE <= len(ids) < OVERLAP:
+                    continue
                 hashed = self.hashed(self.weighted(ids), mask)
                 keys.append(hashed)
                 where += [(j, a) for a in range(len(hashed))]
@@ -79,19 +88,28 @@ class Seeds:
         return found
 
     def overlap(self, ids: np.ndarray, j: int, offset: int) -> tuple[int, int, int]:
-        """(first word, word after the last, matches) of the best stretch along a diagonal."""
+        """(first word, word after the last, matches) along a diagonal: of the whole item if its share matches, or of the best stretch."""
         item = self.items[j][1]
         a, b = max(0, offset), min(len(ids), offset + len(item))
         same = ids[a:b] == item[a - offset : b - offset]
-        score = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
+        places = np.flatnonzero(same)
+        if len(item) < OVERLAP or len(places) >= self.share(j):
+            return a + int(places[0]), a + int(places[-1]) + 1, len(places)
+        score = np.concatenate([[0], np.cumsum(np.where(same, 1, -1))])
         low = np.minimum.accumulate(score)
         end = int(np.argmax(score - low))
         start = int(np.flatnonzero(score[: end + 1] == low[end])[-1])
         return a + start, a + end, int(same[start:end].sum())
 
-    def enough(self, j: int, matches: int) -> bool:
+    def share(self, j: int) -> int:
+        """Matching words, anywhere in the item, that are enough."""
         n = len(self.items[j][1])
-        return matches >= min(OVERLAP, n) or (n >= OVERLAP and matches >= max(8, SHARE * n))
+        if n < OVERLAP:
+            return n if n < WHOLE else ceil(SHORT_SHARE * n)
+        return max(8, ceil(SHARE * n))
+
+    def enough(self, j: int, matches: int) -> bool:
+        return matches >= min(OVERLAP, self.share(j))
 
     def hits(self, texts: list[str | None], together: int = 200_000) -> list[list[list[int]]]:
         """For each text (item, first word, word after the last, matches) of each overlap, the best one per item.
