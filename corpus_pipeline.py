@@ -33,7 +33,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_single(docs)
+    return mixing.mix_single(docs, further=True)
 
 
 STAGES = [

@@ -198,6 +198,39 @@ def test_mix_matches_sql(spark):
     assert mixing.mix_single(docs.limit(0)).count() == 0
 
 
+def brute_taken(docs, quota, seed):
+    """doc_id to words taken of one source, document by document."""
+    n = sum(docs.values())
+    full, gap = divmod(quota, n)
+    uses = dict.fromkeys(docs, full)
+    order = sorted(docs, key=lambda i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest())
+    pool = order
+    while pool:
+        for i in pool:  # a pass ends at the first document that does not fit
+            if docs[i] > gap:
+                break
+            uses[i] += 1
+            gap -= docs[i]
+        pool = [i for i in order if uses[i] == full and docs[i] <= gap]
+    left = [(abs(gap - docs[i]), k, i) for k, i in enumerate(order) if uses[i] == full and abs(gap - docs[i]) < gap]
+    if left:
+        uses[min(left)[2]] += 1
+    return {i: uses[i] * docs[i] for i in docs}
+
+
+def test_filling_goes_on_past_a_document_that_does_not_fit(spark):
+    rng = random.Random(19)
+    first_of_all = sorted(range(1000, 3000), key=lambda i: hashlib.md5(f"mix:{i}".encode()).hexdigest())
+    data = [(i, prose(rng, rng.randint(5, 30)), rng.choice("abc")) for i in range(150)]
+    data += [(i, prose(rng, 900), s) for i, s in zip(first_of_all, "abc")]
+    rows = mixing.mix_single(spark.createDataFrame(data, "doc_id long, text string, source string"), further=True).collect()
+    for s in "abc":
+        mine = [r for r in rows if r["source"] == s]
+        got, quota = {r["doc_id"]: r["taken"] for r in mine}, round(mine[0]["target"])
+        assert got == brute_taken({r["doc_id"]: r["size"] for r in mine}, quota, "mix")
+        assert abs(quota - sum(got.values())) <= 5  # the long document of c alone misses by more than 100
+
+
 def test_flow_repeats_as_little_as_it_can():
     rng = random.Random(13)
     for _ in range(40):

@@ -10,6 +10,7 @@ are then chosen in the order of a seeded hash.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import floor
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,12 +82,37 @@ def word_count(text: Column) -> Column:
     return F.when(text.isNull(), 0).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")
 
 
-def mix(docs: DataFrame, sources: Column, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", weights=WEIGHTS, most: int = REPEATS) -> DataFrame:
+def prefix(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``rows`` with ``_full`` and ``_more``, 1 for those that come before the running sum of their pattern, in the order of the hash, exceeds its rest."""
+    # the sums of the hash buckets tell which buckets are in, which out, and the one in which the rest ends
+    bucket = F.substring("_h", 1, BUCKETS)
+    per = rows.groupBy("_p", bucket.alias("_b")).agg(F.sum("size").alias("_n"))
+    before = Window.partitionBy("_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    cut = per.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(asked, "_p")
+    cut = cut.where(F.col("_before") <= F.col("_rest")).where(F.col("_before") + F.col("_n") > F.col("_rest")).groupBy("_p").agg(F.max("_b").alias("_edge"), F.max_by("_before", "_b").alias("_base"))
+    ends = cut_lineage(asked.join(cut, "_p", "left"))
+    ends = small_table(rows.sparkSession, [tuple(r) for r in ends.collect()], "_p string, _full bigint, _rest bigint, _edge string, _base bigint")
+
+    placed = rows.join(F.broadcast(ends), "_p").withColumn("_b", bucket)
+    # only rows of a pattern's last bucket need an order among themselves
+    edge = placed.where(F.col("_b") == F.col("_edge"))
+    order = Window.partitionBy("_p").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = edge.withColumn("_at", F.col("_base") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    inside = inside.withColumn("_more", (F.col("_at") + F.col("size") <= F.col("_rest")).cast("long"))
+    others = placed.where(F.col("_edge").isNull() | (F.col("_b") != F.col("_edge")))
+    # without an edge all rows together stay within the rest
+    others = others.withColumn("_more", F.coalesce(F.col("_b") < F.col("_edge"), F.lit(True)).cast("long"))
+    keep = [*rows.columns, "_full", "_more"]
+    return others.select(*keep).unionByName(inside.select(*keep))
+
+
+def mix(docs: DataFrame, sources: Column, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", weights=WEIGHTS, most: int = REPEATS, further: bool = False) -> DataFrame:
     """One row per document: id, ``size`` in words, its ``pattern`` (sorted array of sources, null last) and ``taken``,
     the words the mix takes of it, whole copies of the document.
 
     ``sources`` is an array. Of each pattern every document is used as often as the flow's words
-    allow; the rest is filled in the order of md5(seed:id) as far as documents fit, and by the
+    allow; the rest is filled in the order of md5(seed:id) up to the first document that does not fit, with
+    ``further`` also past it by documents that do, until none does, and by the
     one document whose size comes nearest to what is then missing. A null text has size 0 and takes nothing; a document without sources is
     in none and takes nothing; rows that repeat are documents of their own.
     """
@@ -117,30 +143,29 @@ def mix(docs: DataFrame, sources: Column, seed: str = "mix", id_col: str = "doc_
         uses.append((r["_p"], full, int(words - full * n)))
     asked = small_table(spark, uses, "_p string, _full bigint, _rest bigint")
 
-    # the sums of the hash buckets tell which buckets are in, which out, and the one in which the rest ends
-    bucket = F.substring("_h", 1, BUCKETS)
-    per = rows.groupBy("_p", bucket.alias("_b")).agg(F.sum("size").alias("_n"))
-    before = Window.partitionBy("_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    cut = per.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(asked, "_p")
-    cut = cut.where(F.col("_before") <= F.col("_rest")).where(F.col("_before") + F.col("_n") > F.col("_rest")).groupBy("_p").agg(F.max("_b").alias("_edge"), F.max_by("_before", "_b").alias("_base"))
-    ends = cut_lineage(asked.join(cut, "_p", "left"))
-    ends = small_table(spark, [tuple(r) for r in ends.collect()], "_p string, _full bigint, _rest bigint, _edge string, _base bigint")
-
-    placed = rows.join(F.broadcast(ends), "_p").withColumn("_b", bucket)
-    # only rows of a pattern's last bucket need an order among themselves
-    edge = placed.where(F.col("_b") == F.col("_edge"))
-    order = Window.partitionBy("_p").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = edge.withColumn("_at", F.col("_base") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    inside = inside.withColumn("_more", (F.col("_at") + F.col("size") <= F.col("_rest")).cast("long"))
-    others = placed.where(F.col("_edge").isNull() | (F.col("_b") != F.col("_edge")))
-    others = others.withColumn("_more", F.coalesce(F.col("_b") < F.col("_edge"), F.lit(False)).cast("long"))
-    keep = ["doc_id", "size", "pattern", "_p", "_h", "_full", "_rest", "_more"]
-    chosen = cut_lineage(others.select(*keep).unionByName(inside.select(*keep)))
+    chosen = cut_lineage(prefix(rows, asked))
+    sums_of = lambda df: {r["_p"]: r["n"] for r in df.groupBy("_p").agg(F.sum(F.col("size") * F.col("_more")).alias("n")).collect()}
+    have = sums_of(chosen)
+    gaps = {p: rest - have.get(p, 0) for p, _, rest in uses}
+    # the gap only shrinks, so what does not fit into it now never will
+    parts, pool = [], chosen
+    while further:
+        still = [(p, full, gaps[p]) for p, full, _ in uses if gaps[p] > 0 and full < most]
+        gap = small_table(spark, still, "_p string, _full bigint, _rest bigint")
+        pool = pool.join(F.broadcast(gap.select("_p", F.col("_rest").alias("_gap"))), "_p", "left")
+        fits = F.coalesce((F.col("_more") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("_gap")), F.lit(False))
+        parts.append(pool.where(~fits).drop("_gap"))
+        again = pool.where(fits)
+        if not still or again.isEmpty():
+            chosen = reduce(DataFrame.unionByName, parts)
+            break
+        pool = cut_lineage(prefix(again.select(*rows.columns), gap))
+        for p, n in sums_of(pool).items():
+            gaps[p] -= n
 
     # what is still missing goes to the one document whose size comes nearest, if that is nearer than none
-    have = chosen.groupBy("_p", "_rest").agg(F.sum(F.col("size") * F.col("_more")).alias("n")).collect()
-    gaps = small_table(spark, [(r["_p"], r["_rest"] - r["n"]) for r in have], "_p string, _gap bigint")
-    left = chosen.where((F.col("_more") == 0) & (F.col("_full") < most)).join(F.broadcast(gaps), "_p")
+    missed = small_table(spark, list(gaps.items()), "_p string, _gap bigint")
+    left = chosen.where((F.col("_more") == 0) & (F.col("_full") < most)).join(F.broadcast(missed), "_p")
     left = left.withColumn("_off", F.abs(F.col("_gap") - F.col("size"))).where(F.col("_off") < F.col("_gap"))
     best = left.groupBy("_p").agg(F.min(F.struct("_off", "_h", "size")).alias("b")).collect()
     last = small_table(spark, [(r["_p"], r["b"]["_h"], r["b"]["size"]) for r in best], "_p string, _h string, size bigint")
