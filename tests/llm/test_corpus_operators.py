@@ -57,6 +57,20 @@ def test_one_document_of_each_class_stays(spark):
     assert ordermin.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_rows_without_id_are_classes_like_others(spark):
+    rng = random.Random(20)
+    one, two, three, four = (prose(rng, 120) for _ in range(4))
+    near = lambda t: "edited " + t.split(" ", 1)[1]
+    rows = [(None, one), (None, near(one)), (None, one), (None, two), (None, two), (7, three), (None, near(three)), (8, four), (8, near(four)), (None, None), (None, "..."), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = collections.Counter(r["class_key"] for r in ordermin.classes(docs).collect())
+    assert sorted(keys.values()) == [2, 2, 2, 3, 3] and keys[None] == 3
+    kept = [tuple(r) for r in ordermin.one_of_each(docs).collect()]
+    of = lambda t: [r for r in kept if r[1] in (t, near(t))]
+    assert [len(of(t)) for t in (one, two, three, four)] == [1, 1, 1, 1]
+    assert of(three) == [(7, three)] and len(kept) == 7
+
+
 def test_aligned_needs_the_order():
     rng = random.Random(1)
     a, b = prose(rng, 100), prose(rng, 100)
