@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 from itertools import product
 
@@ -71,6 +72,12 @@ def test_rows_without_id_are_classes_like_others(spark):
     assert of(three) == [(7, three)] and len(kept) == 7
 
 
+def test_weeding_loses_less_than_one_true_link_in_a_million():
+    n, p = 64 * ordermin.LONGS, (1 - ordermin.SIMILARITY) / 2
+    lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(math.floor(ordermin.most_differing(ordermin.SIMILARITY)) + 1, n + 1))
+    assert lost < 1e-6
+
+
 def test_aligned_needs_the_order():
     rng = random.Random(1)
     a, b = prose(rng, 100), prose(rng, 100)
