@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacansight.llm import decontam, htmlcut, langid, ledger, mixing, ordermin, pii, simhash, spans, toxicity
+from vacansight.llm import chat, decontam, divergence, htmlcut, langid, ledger, manifest, mixing, ordermin, pii, simhash, spans, toxicity
 from vacansight.llm.common import table
+from vacansight.session import small_table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,12 +61,32 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    made = manifest.manifest(docs, manifest.tampered_text(F.col("doc_id"), F.col("text")))
+    return made.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = small_table(spark, chat.PROBE, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.turns(chat.log_of(rows.unionByName(probe))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_pii, op3_sentence_spans, op4_decontamination, op5_simhash,
         op6_html_cut, op7_toxicity, op8_mixing, op9_secrets, op10_order_minhash,
+        op11_divergence, op12_manifest, op13_chat_log,
     )
 }
 
-SQL: dict[str, str] = {"op8_mixing": mixing.SQL, "op9_secrets": ledger.SQL}
+SQL: dict[str, str] = {
+    "op8_mixing": mixing.SQL, "op9_secrets": ledger.SQL,
+    "op11_divergence": divergence.SQL, "op12_manifest": manifest.SQL, "op13_chat_log": chat.SQL,
+}
