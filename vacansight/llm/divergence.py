@@ -15,7 +15,7 @@ and no terms. An empty table gives no rows. Values that tie are ranked by the by
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ TILE = 32
 #: Largest sources of a language whose counts order the vocabulary.
 ORDERING = 6
 #: Distinct (language, source, term) that a task holds before it hands its counts on.
-HELD = 400_000
+HELD = 150_000
 
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 _COUNTED = "lang string, source string, term binary, n long, df long"
@@ -46,10 +46,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[tuple, list[int]] = {}
     seen: set[tuple] = set()
 
-    def hand_on(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-        columns = zip(*rows) if rows else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "source", "term", "n", "df"])
+    def hand_on(groups: Sequence[tuple] = ()) -> pa.RecordBatch:
+        """What is held, and a row without a term for each of ``groups``."""
+        empty = [0] * len(groups)
+        columns = [pa.array([*(k[i] for k in held), *(g[i] for g in groups)], pa.string()) for i in (0, 1)]
+        columns.append(pa.array([*(k[2] for k in held), *(None for _ in groups)], pa.binary()))
+        columns += [pa.array([*(v[i] for v in held.values()), *empty], pa.int64()) for i in (0, 1)]
+        held.clear()
+        return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "df"])
 
     for batch in batches:
         langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -63,9 +67,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 entry[0] += n
                 entry[1] += 1
         if len(held) > HELD:
-            yield hand_on([(*k, *v) for k, v in held.items()])
-            held.clear()
-    yield hand_on([(*k, *v) for k, v in held.items()] + [(*k, None, 0, 0) for k in seen])
+            yield hand_on()
+    yield hand_on(list(seen))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
