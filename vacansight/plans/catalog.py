@@ -16,7 +16,7 @@ from vacansight.functions import skills as skill_steps
 from vacansight.functions.places import resolve_locations
 from vacansight.operators import digest, dictionaries, distributions, health, merge, pairs, reference_lists, search, trends
 from vacansight.operators.filters import Filters, matching
-from vacansight.plans import standins
+from vacansight.plans import standins, stored
 from vacansight.plans.clean import clean_postings
 from vacansight.sources import pages as page_jobs
 from vacansight.session import small_table, unfolded
@@ -793,3 +793,6 @@ def url_discovery_limited(spark, sf):
     links = page_jobs.page_links(standins.texts(spark, sf, "pages"))
     whole = links.select("page_id", "pos", F.concat(F.lit("https://www.site.example.org"), "url").alias("url"))
     return page_jobs.discover_urls(whole, "site.example", ["page_id", "pos"], limit=50)
+
+
+QUERIES.update(stored.QUERIES)

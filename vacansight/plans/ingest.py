@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from vacansight.functions.skills import skill_category
 from vacansight.operators.dictionaries import new_entries
 from vacansight.operators.health import field_fill_counts
-from vacansight.operators.merge import batch_counts, first_sightings, merge_batch, new_job_ids, rebuild_children
+from vacansight.operators.merge import batch_counts, first_sightings, merge_batch, new_job_ids
 from vacansight.operators.trends import snapshot, upsert_counts
 from vacansight.plans.clean import clean_postings, unreadable
 from vacansight.schemas import RAW_FIELDS
-from vacansight.session import cut_lineage
+from vacansight.session import cut_lineage, small_table
 from vacansight.sources.raw import write_aside
-from vacansight.sources.store import Store
+from vacansight.sources.store import Change, Store
 
 _DIMENSIONS = (
     ("role_categories", "role_category_id", "role_category"),
@@ -25,41 +25,32 @@ _DIMENSIONS = (
 )
 
 
-def _register(store: Store, batch: DataFrame) -> None:
+def _enter(change: Change, table: str, names: DataFrame, keys: list[str], id_col: str, extra: dict[str, Column] | None = None) -> None:
+    """Adds the names a dictionary does not have yet, with ids after the highest one of the manifest."""
+    highest = change.next.highest.get(id_col, 0)
+    added = new_entries(change.read(table), names, keys, id_col, extra, highest)
+    change.append(table, added)
+    change.next.highest[id_col] = max(highest, added.agg(F.max(id_col)).first()[0] or 0)
+
+
+def _register(change: Change, batch: DataFrame) -> None:
     """Adds the batch's new names to the dictionaries."""
     names = batch.select(F.explode("skills").alias("skill_name"))
-    category = {"category": skill_category(F.col("skill_name"))}
-    store.append("skills", new_entries(store.read("skills"), names, ["skill_name"], "skill_id", category))
+    _enter(change, "skills", names, ["skill_name"], "skill_id", {"category": skill_category(F.col("skill_name"))})
     for table, id_col, column in _DIMENSIONS:
-        names = batch.select(F.col(column).alias("name"))
-        store.append(table, new_entries(store.read(table), names, ["name"], id_col))
+        _enter(change, table, batch.select(F.col(column).alias("name")), ["name"], id_col)
 
     degrees = _degree_rows(batch)
-    store.append(
-        "degrees",
-        new_entries(
-            store.read("degrees"),
-            degrees.select(F.nullif("degree_name", F.lit("")).alias("degree_name"), "level"),
-            ["degree_name", "level"],
-            "degree_id",
-        ),
-    )
+    of_level = degrees.select(F.nullif("degree_name", F.lit("")).alias("degree_name"), "level")
+    _enter(change, "degrees", of_level, ["degree_name", "level"], "degree_id")
     named = degrees.select("degree_name", "level", F.explode("specializations").alias("specialization_name"))
-    store.append(
-        "specializations",
-        new_entries(store.read("specializations"), named.filter("specialization_name != ''"), ["specialization_name"], "specialization_id"),
-    )
+    _enter(change, "specializations", named.filter("specialization_name != ''"), ["specialization_name"], "specialization_id")
     pairs = (
         named.distinct()
-        .join(store.read("degrees"), ["degree_name", "level"])
-        .join(store.read("specializations"), "specialization_name")
-    )
-    store.append(
-        "degree_specializations",
-        new_entries(
-            store.read("degree_specializations"), pairs, ["degree_id", "specialization_id"], "degree_specialization_id"
-        ),
+        .join(change.read("degrees"), ["degree_name", "level"])
+        .join(change.read("specializations"), "specialization_name")
     )
+    _enter(change, "degree_specializations", pairs, ["degree_id", "specialization_id"], "degree_specialization_id")
 
 
 def _degree_rows(batch: DataFrame) -> DataFrame:
@@ -68,7 +59,7 @@ def _degree_rows(batch: DataFrame) -> DataFrame:
     )
 
 
-def _with_ids(store: Store, batch: DataFrame) -> DataFrame:
+def _with_ids(store: Change, batch: DataFrame) -> DataFrame:
     """Names replaced by ids: sorted, distinct id arrays and the single-valued ids."""
     none = F.array().cast("array<int>")
     mentions = batch.select(
@@ -111,43 +102,40 @@ def _levels(batch: DataFrame) -> DataFrame:
 def ingest_batch(store: Store, raw: DataFrame, as_of: date, batch_id: int) -> DataFrame:
     """Cleans, merges and snapshots one batch; returns its new and repeat counts.
 
-    Applying the same batch again changes nothing: one that is in the batch table was stored
-    whole and is passed over, one that broke off is repaired. ``raw`` carries ``batch_pos``.
+    All tables change together, when the manifest is published: a batch that broke off has changed nothing, and one
+    that is in the batch table is passed over. Only the rows of the batch's own postings are written. ``raw`` carries
+    ``batch_pos``.
     """
-    if not store.read("batches").filter(F.col("batch_id") == batch_id).isEmpty():
-        return batch_counts(store.read("postings"), batch_id)
+    change = store.begin()
+    if not change.read("batches").filter(F.col("batch_id") == batch_id).isEmpty():
+        return batch_counts(change.read("postings"), batch_id)
     today = F.lit(as_of).cast("date")
-    cleaned = clean_postings(raw, store.read("cities"))
+    cleaned = clean_postings(raw, change.read("cities"))
     first = first_sightings(cleaned, ["fingerprint"], ["batch_pos"])
     batch = cut_lineage(first.withColumn("bucket", store.bucket(F.col("fingerprint"))))
 
-    _register(store, batch)
-    stored = store.read("postings")
-    touched = _touched_buckets(batch)
-    current = stored.filter(F.col("bucket").isin(touched))
-    highest = stored.agg(F.coalesce(F.max("job_id"), F.lit(0).cast("long"))).scalar()
-    ids = new_job_ids(current, batch, "fingerprint", ["batch_pos"], highest)
-    merged = cut_lineage(merge_batch(current, _with_ids(store, batch), ids, today, batch_id))
-
-    mine = merged.filter(F.col("last_batch_id") == batch_id).select("job_id", "fingerprint", "bucket")
-    fresh = mine.join(_levels(batch), "fingerprint")
-    children = cut_lineage(rebuild_children(store.read("qualifications").filter(F.col("bucket").isin(touched)), mine, fresh))
-
-    store.replace_buckets("postings", merged, touched)
-    store.replace_buckets("qualifications", children, touched)
-    snapshot_today(store, as_of)
-    store.append("batches", store.spark.createDataFrame([(batch_id, as_of)], "batch_id long, as_of date"))
+    _register(change, batch)
+    touched = change.read("postings", _touched_buckets(batch))
+    current = cut_lineage(touched.join(batch.select("fingerprint"), "fingerprint", "left_semi"))
+    highest = change.next.highest.get("job_id", 0)
+    ids = new_job_ids(current, batch, "fingerprint", ["batch_pos"], F.lit(highest).cast("long"))
+    merged = change.write("postings", merge_batch(current, _with_ids(change, batch), ids, today, batch_id))
+    change.next.highest["job_id"] = max(highest, merged.agg(F.max("job_id")).first()[0] or 0)
+
+    mine = merged.select("job_id", "fingerprint", "bucket")
+    change.write("qualifications", mine.join(_levels(batch), "fingerprint").select("job_id", "level", "field_of_study", "bucket"))
+    snapshot_today(change, as_of)
+    change.append("batches", small_table(store.spark, [(batch_id, as_of)], "batch_id long, as_of date"))
+    change.publish()
     return batch_counts(merged, batch_id)
 
 
-def snapshot_today(store: Store, as_of: date) -> DataFrame:
+def snapshot_today(change: Change, as_of: date) -> None:
     """Counts of the postings seen today into today's partition."""
     today = F.lit(as_of).cast("date")
-    counts = snapshot(store.read("postings"), store.read("skills"), today)
-    day = store.read("daily_counts").filter(F.col("snapshot_date") == today)
-    fresh = cut_lineage(upsert_counts(day, counts))
-    store.replace_days(fresh)
-    return fresh
+    counts = snapshot(change.read("postings"), change.read("skills"), today)
+    day = change.read("daily_counts").filter(F.col("snapshot_date") == today)
+    change.replace_days(upsert_counts(day, counts))
 
 
 def run(store: Store, raw: DataFrame, as_of: date, batch_id: int, search_url: str, aside: str) -> DataFrame | None:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from vacansight import vocab
 from vacansight.functions.text import BLOCK_TAGS
-from vacansight.plans import catalog, standins
+from vacansight.plans import catalog, standins, stored
 
 
 def lit(value: str) -> str:
@@ -761,3 +761,5 @@ SQL["stream_daily_counts"] = with_(DAILY) + "SELECT * FROM daily"
 SQL["stream_first_sightings"] = "SELECT DISTINCT user_id, event_type FROM events"
 SQL["stream_distinct_daily_counts"] = with_(DAILY) + """
 SELECT * FROM daily WHERE snapshot_date + 1 <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"""
+
+SQL.update(stored.SQL)
