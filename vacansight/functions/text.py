@@ -95,13 +95,18 @@ def decoded(c: Column) -> Column:
         rest = F.concat(char, F.substr(part, F.char_length(name) + 2))
         return F.when(i == 0, part).otherwise(F.coalesce(rest, F.concat(F.lit("&"), part)))
 
-    return F.when(c.contains("&"), F.array_join(F.transform(F.split(c, "&"), piece), "")).otherwise(c)
+    return let(c, lambda x: F.when(x.contains("&"), F.array_join(F.transform(F.split(x, "&"), piece), "")).otherwise(x))
 
 
 def strip_tags(c: Column) -> Column:
-    """Text of an HTML fragment as a reader sees it: a line break at every block, inline tags dropped, white space run together,
-    scripts, styles and comments left out, character references resolved."""
-    text = F.regexp_replace(visible_html(c), r"[ \t\n\x0b\f\r]+", " ")
+    """Text of an HTML fragment as a reader sees it: scripts, styles and comments left out, then as ``shown_text``."""
+    return shown_text(visible_html(c))
+
+
+def shown_text(c: Column) -> Column:
+    """Text of HTML that has no scripts, styles and comments: a line break at every block, inline tags dropped, white
+    space run together, character references resolved."""
+    text = F.regexp_replace(c, r"[ \t\n\x0b\f\r]+", " ")
     text = F.regexp_replace(text, rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?=[\s/>])[^>]*>", "\n")
     text = F.regexp_replace(text, "</?[A-Za-z!][^>]*>", "")
     return strip(decoded(F.regexp_replace(text, " *\n[ \n]*", "\n")))

@@ -777,6 +777,14 @@ def page_fields(spark, sf):
     return flat(found.select("page_id", "title", "heading", "items", "body", "advert"))
 
 
+@query
+def posting_pages(spark, sf):
+    found = page_jobs.page_fields(standins.posting_pages(spark, sf), day(AS_OF))
+    education = F.array_join(F.transform(F.map_entries("education"), lambda e: F.concat_ws("=", e["key"], e["value"])), "|")
+    shown = ["url", "title", "company", "key_skills", "preferred_key_skills", "company_badges", "department", "openings", "description"]
+    return flat(found.select(*shown, education.alias("education")))
+
+
 @query
 def page_links(spark, sf):
     return page_jobs.page_links(standins.texts(spark, sf, "pages"))

@@ -749,6 +749,13 @@ SELECT page_id, NULLIF({_visible(f"regexp_extract(html, {_element('title')}, 1)"
   NULLIF({_visible("string_split(string_split(html, '<body>')[2], '</body>')[1]")}, '') AS body,
   NULLIF({_visible(f"regexp_extract(html, {_element('div')}, 1)")}, '') AS advert
 FROM pages"""
+SQL["posting_pages"] = f"""
+WITH o AS (SELECT o_orderkey, o_custkey, o_custkey % {standins.PAGE_UNITS} AS unit, o_orderkey % {standins.PAGE_TOOLS} AS tool, o_custkey % {standins.PAGE_TOOLS} AS other FROM orders)
+SELECT 'https://pages.example.net/' || o_orderkey AS url, 'Post ' || o_orderkey AS title, 'Firm ' || o_custkey || chr(10) || 'unit ' || unit AS company,
+  'Tool' || tool || '|Big Tool' || other AS key_skills, 'Tool' || tool AS preferred_key_skills, 'B' || unit || ' of ' || tool || '|Last' AS company_badges,
+  'Dept ' || unit || ', Unit ' || other AS department, CAST(tool AS INTEGER) AS openings, 'UG=B.Sc in Field ' || unit AS education,
+  concat_ws(chr(10), 'Text ' || o_orderkey, 'more', 'lines', 'end', 'a', 'b') AS description
+FROM o WHERE o_orderkey % 10 <> 0"""
 _HREFS = "regexp_extract_all(html, '<a\\s[^>]*?href=[\"'']([^\"'']*)[\"'']', 1)"
 SQL["page_links"] = f"SELECT page_id, CAST(generate_subscripts({_HREFS}, 1) - 1 AS INTEGER) AS pos, unnest({_HREFS}) AS url FROM pages"
 SQL["url_discovery"] = """

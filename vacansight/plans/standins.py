@@ -421,3 +421,28 @@ def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("job_id").alias("batch_pos"),
         )
     )
+
+
+# A page of nested elements; names in braces are columns.
+PAGE = """<html><head><script>var d = "</div>";</script></head><body><h1 class="job title">Post {o_orderkey}</h1>
+<div class="card company"><div>Firm {o_custkey}<div>unit <b>{unit}</b></div></div></div>
+<ul><li><a class="chip top"><i class="icon star"></i><span>Tool{tool}</span></a></li><li><a class="chip"><span>Big <span>Tool{other}</span></span></a></ul>
+<span class="badge"><span>B{unit}</span> of <b>{tool}</b></span><!-- </span> --><span class="badge">Last</span>
+<div><label>Department:</label> <span><a href="/d">Dept {unit}</a>, <span><a href="/u">Unit {other}</a></span></span></div>
+<div><label>Openings:</label><span>{tool}</span></div></section>
+<section class="education"><div><label>UG:</label><span>B.Sc in <span>Field {unit}</span></span></div><div><label>None:</label></div></section>
+<div class="description"><div><p>Text {o_orderkey}<p>more<br>lines</div><div>end <ul><li>a<ul><li>b</ul></ul></div></div><div class="description">other</div>"""
+PAGE_TOOLS, PAGE_UNITS = 40, 7
+
+
+def posting_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages whose fields hold nested elements; every tenth has no description."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", (F.col("o_custkey") % PAGE_UNITS).alias("unit"),
+        (F.col("o_orderkey") % PAGE_TOOLS).alias("tool"), (F.col("o_custkey") % PAGE_TOOLS).alias("other"),
+    )
+    html = F.lit(PAGE)
+    for name in orders.columns:
+        html = F.replace(html, F.lit("{" + name + "}"), F.col(name).cast("string"))
+    html = F.when(F.col("o_orderkey") % 10 == 0, F.replace(html, F.lit("description"), F.lit("advert"))).otherwise(html)
+    return orders.select(F.concat(F.lit("https://pages.example.net/"), F.col("o_orderkey").cast("string")).alias("url"), html.alias("html"))

@@ -1,50 +1,72 @@
 """Posting pages: labelled fields out of stored HTML, and the links worth following.
 
-Fields are found with patterns over the page without scripts, styles and comments; the
-pages of a site are given as ``PageRules``. A field that is one element ends at the closing
-tag of that element, whatever is nested in it, or at the end of the page if it is never closed.
-Members of a list (chips, badges, items) end at their first closing tag.
+A page is cut at its tags once, without scripts, styles and comments, and one pass over the tags labels every
+element with its name, the tags that open and close it and its depth. Fields, list members, linked names and
+labelled rows are then intervals of tags: always whole, whatever is nested in them. An element that is never closed ends
+where the element around it ends; a closing tag that nothing opened is passed over.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacansight.functions import parsing, skills
-from vacansight.functions.text import let, strip, strip_tags, visible_html
+from vacansight.functions.text import let, shown_text, strip, visible_html
 from vacansight.vocab import MISSING, SKILL_PATTERNS
 
+# Elements without content.
+VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+#: Elements labelled in one array before it is set aside, so that a long page is not copied at every element.
+LABELLED_AT_ONCE = 256
 
-def element(tag: str, css_class: str | None = None) -> str:
-    """Pattern whose group 1 is the inner HTML of the element."""
-    marked = rf"""[^>]*class=["'][^"']*\b{css_class}\b[^"']*["'][^>]*""" if css_class else r"(?:\s[^>]*)?"
-    return rf"(?s)<{tag}{marked}>(.*?)</{tag}>"
+
+@dataclass(frozen=True)
+class Element:
+    """Elements of a name, all or those that carry a class."""
+
+    tag: str
+    css_class: str | None = None
+
+    def fits(self, e: Column) -> Column:
+        """Whether a labelled element is one of these."""
+        named = e["name"] == self.tag
+        if not self.css_class:
+            return named
+        opening = F.substring_index(F.get(Page.parts, e["open"]), ">", 1)
+        return named & opening.rlike(rf"""class=["'][^"']*\b{self.css_class}\b[^"']*["']""")
+
+
+@dataclass(frozen=True)
+class LabelledRow:
+    """The value cell that follows exactly this label."""
+
+    label: str
+
+
+def element(tag: str, css_class: str | None = None) -> Element:
+    return Element(tag, css_class)
 
 
-def row_of(label: str) -> str:
-    """Pattern of the value cell that follows exactly this label."""
-    return rf"(?s)<label[^>]*>\s*{label}\s*</label>\s*<span[^>]*>(.*?)</span>\s*</div>"
+def row_of(label: str) -> LabelledRow:
+    return LabelledRow(label)
 
 
-ANCHORS = element("a")
-LABELLED = r"(?s)<label[^>]*>(.*?)</label>\s*<span[^>]*>(.*?)</span>"
+Place = Element | LabelledRow
 
 
 @dataclass(frozen=True)
 class PageRules:
-    """Patterns of one site. ``texts`` give one value, ``lists`` all matches, ``linked``
-    the link texts inside a value joined with commas; ``education`` is the block of
-    labelled rows; ``starred`` marks a preferred skill inside a skill chip."""
-
-    texts: dict[str, str] = field(default_factory=dict)
-    lists: dict[str, str] = field(default_factory=dict)
-    linked: dict[str, str] = field(default_factory=dict)
-    education: str | None = None
-    skill_chips: str | None = None
+    """Places of one site. ``texts`` give one value, ``lists`` all elements, ``linked`` the link texts inside a value
+    joined with commas; ``education`` is the block of labelled rows; ``starred`` marks a preferred skill inside a skill chip."""
+
+    texts: dict[str, Place] = field(default_factory=dict)
+    lists: dict[str, Element] = field(default_factory=dict)
+    linked: dict[str, Place] = field(default_factory=dict)
+    education: Element | None = None
+    skill_chips: Element | None = None
     starred: str | None = None
 
 
@@ -74,85 +96,155 @@ POSTING_PAGE = PageRules(
 )
 
 
-def inner_html(html: Column, pattern: str) -> Column:
-    """What stands in the first place of ``pattern``, '' where it is nowhere.
+_ELEMENT = "struct<open:int,close:int,depth:int,name:string>"
 
-    For a pattern of ``element`` this is all up to the tag that closes the element: the rest of the page is cut at the tags
-    of that name, and one pass over these tags, with two numbers as its state, finds where the depth is back at 0.
+
+def _labelled(parts: Column) -> Column:
+    """Every element of a page as (open, close, depth, name): places of its tags, and how many elements are around it.
+
+    The state of the pass is the stack of open elements. A closing tag closes the
+    nearest open element of its name and what is still open inside it.
     """
-    opening, marker, closing = pattern.rpartition("(.*?)</")
-    if not marker or not re.fullmatch("[a-z0-9]+>", closing):
-        return F.regexp_extract(html, pattern, 1)
-    tag = rf"(?i)<{closing[:-1]}(?=[\s>])[^>]*>|</{closing[:-1]}\s*>"
-    rest = F.regexp_extract(html, rf"{opening}(.*)\z", 1)
-
-    def cut(x: Column) -> Column:
-        marks = F.regexp_extract_all(x, F.lit(tag), F.lit(0))
-        step = lambda acc, m: F.when(acc["depth"] == 0, acc).otherwise(
-            F.struct((acc["depth"] + F.when(m.startswith("</"), -1).otherwise(1)).alias("depth"), (acc["at"] + 1).alias("at"))
+    none = F.array().cast(f"array<{_ELEMENT}>")
+    name = lambda m: F.lower(F.regexp_extract(m, "^</?([A-Za-z][A-Za-z0-9:-]*)", 1))
+    tags = F.transform(parts, lambda m, i: F.struct(i.alias("at"), name(m).alias("name"), m.startswith("</").alias("closing")))
+    tags = F.filter(tags, lambda t: ~t["name"].isin(VOID))
+    start = F.struct(F.array().cast("array<int>").alias("at"), F.array().cast("array<string>").alias("names"), none.alias("new"), F.array().cast(f"array<array<{_ELEMENT}>>").alias("done"))
+
+    def closed(acc: Column, end: Column, depth: Column) -> Column:
+        """The open elements from ``depth`` on, closed at ``end``."""
+        inside = F.slice(acc["at"], depth + 1, F.size(acc["at"]) - depth)
+        place = lambda at, j: F.struct(
+            at.alias("open"), end.cast("int").alias("close"), (depth + j).cast("int").alias("depth"), F.get(acc["names"], depth + j).alias("name")
+        )
+        return F.transform(inside, place)
+
+    def step(acc: Column, t: Column) -> Column:
+        full = F.size(acc["new"]) >= LABELLED_AT_ONCE
+        opened = F.struct(
+            F.concat(acc["at"], F.array(t["at"])).alias("at"), F.concat(acc["names"], F.array(t["name"])).alias("names"),
+            F.when(full, none).otherwise(acc["new"]).alias("new"), F.when(full, F.concat(acc["done"], F.array(acc["new"]))).otherwise(acc["done"]).alias("done"),
+        )
+        up = F.array_position(F.reverse(acc["names"]), t["name"]).cast("int")
+        depth = F.size(acc["names"]) - up
+        shut = let(depth, lambda d: F.struct(
+            F.slice(acc["at"], 1, d).alias("at"), F.slice(acc["names"], 1, d).alias("names"), F.concat(acc["new"], closed(acc, t["at"], d)).alias("new"), acc["done"].alias("done"),
+        ))
+        return F.when(~t["closing"], opened).when(up == 0, acc).otherwise(shut)
+
+    finish = lambda acc: F.array_sort(F.concat(F.flatten(acc["done"]), acc["new"], closed(acc, F.size(parts), F.lit(0))))
+    return F.aggregate(tags, start, step, finish)
+
+
+class Page:
+    """Cuts of one page. ``parts`` are its tags, each with the text up to the next; ``elements`` the labelled elements in
+    page order. Places are places in ``parts``."""
+
+    parts, elements = "_parts", "_elements"
+
+    @staticmethod
+    def cut(pages: DataFrame, html: Column) -> DataFrame:
+        """``pages`` with the columns of the cut; each is computed once."""
+        pieces = F.split(F.concat(F.lit(" "), visible_html(html)), "(?=</?[A-Za-z])", -1)
+        # the first piece is what stands before the first tag
+        cut = pages.withColumn(Page.parts, let(pieces, lambda p: F.slice(p, 2, F.size(p))))
+        return cut.withColumn(Page.elements, _labelled(F.col(Page.parts)))
+
+    @staticmethod
+    def after(place: Column) -> Column:
+        """The text right after a tag."""
+        return let(F.get(Page.parts, place), lambda part: F.substr(part, F.instr(part, ">") + 1))
+
+    @staticmethod
+    def inner(e: Column) -> Column:
+        """HTML between the tags of an element."""
+        return F.concat(Page.after(e["open"]), F.array_join(F.slice(Page.parts, e["open"] + 2, F.greatest(e["close"] - e["open"] - 1, F.lit(0))), ""))
+
+    @staticmethod
+    def text(e: Column) -> Column:
+        return shown_text(Page.inner(e))
+
+    @staticmethod
+    def all_of(place: Element, within: Column | None = None) -> Column:
+        """Elements of a place in page order, or those of them inside an element."""
+        inside = lambda e: (e["open"] > within["open"]) & (e["open"] < within["close"]) & place.fits(e)
+        return F.filter(Page.elements, place.fits if within is None else inside)
+
+    @staticmethod
+    def labelled_values(within: Column | None = None) -> Column:
+        """Labels and the value cells right after them: structs of ``label`` (element) and ``value`` (element)."""
+        after = lambda e: F.filter(
+            Page.elements,
+            lambda v: (v["open"] == e["close"] + 1) & (v["name"] == "span") & (strip(Page.after(e["close"])) == ""),
         )
-        end = F.aggregate(marks, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at")), step)
+        pairs = F.transform(Page.all_of(Element("label"), within), lambda e: F.struct(e.alias("label"), F.get(after(e), F.lit(0)).alias("value")))
+        return F.filter(pairs, lambda p: p["value"].isNotNull())
 
-        def upto(e: Column) -> Column:
-            pieces = F.slice(F.arrays_zip(F.split(x, tag).alias("text"), marks.alias("mark")), 1, e["at"])
-            joined = F.transform(pieces, lambda p, i: F.when(i + 1 < e["at"], F.concat(p["text"], p["mark"])).otherwise(p["text"]))
-            return F.when(e["depth"] > 0, x).otherwise(F.array_join(joined, ""))
+    @staticmethod
+    def first(place: Place) -> Column:
+        """The first element of a place, NULL if there is none. Needs ``_rows`` for labelled rows."""
+        if isinstance(place, Element):
+            return F.get(Page.all_of(place), F.lit(0))
+        return F.get(F.filter("_rows", lambda r: r["label"] == place.label), F.lit(0))["value"]
 
-        return let(end, upto)
 
-    return let(rest, cut)
+def _cut(pages: DataFrame, rules: PageRules, html_col: str) -> DataFrame:
+    cut = Page.cut(pages, F.col(html_col))
+    if any(isinstance(p, LabelledRow) for p in (*rules.texts.values(), *rules.linked.values())):
+        rows = F.transform(Page.labelled_values(), lambda r: F.struct(Page.text(r["label"]).alias("label"), r["value"].alias("value")))
+        cut = cut.withColumn("_rows", rows)
+    return cut
 
 
-def text_of(html: Column, pattern: str) -> Column:
-    return F.nullif(strip_tags(inner_html(html, pattern)), F.lit(""))
+def _texts_of(elements: Column) -> Column:
+    return F.filter(F.transform(elements, Page.text), lambda t: t != "")
 
 
-def texts_of(html: Column, pattern: str) -> Column:
-    found = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), strip_tags)
-    return F.filter(found, lambda t: t != "")
+def _fields(cut: DataFrame, rules: PageRules) -> DataFrame:
+    columns = {name: F.nullif(let(Page.first(place), Page.text), F.lit("")) for name, place in rules.texts.items()}
+    columns |= {name: F.coalesce(_texts_of(Page.all_of(place)), F.array().cast("array<string>")) for name, place in rules.lists.items()}
+    linked = lambda e: F.array_join(_texts_of(Page.all_of(Element("a"), e)), ", ")
+    columns |= {name: F.nullif(let(Page.first(place), linked), F.lit("")) for name, place in rules.linked.items()}
+    return cut.withColumns(columns)
 
 
 def extract_fields(pages: DataFrame, rules: PageRules, html_col: str = "html") -> DataFrame:
     """Adds one column per rule; what is not on the page is NULL or empty."""
-    html = visible_html(F.col(html_col))
-    columns = {name: text_of(html, pattern) for name, pattern in rules.texts.items()}
-    columns |= {name: texts_of(html, pattern) for name, pattern in rules.lists.items()}
-    columns |= {
-        name: F.nullif(F.array_join(texts_of(F.regexp_extract(html, pattern, 1), ANCHORS), ", "), F.lit(""))
-        for name, pattern in rules.linked.items()
-    }
-    return pages.withColumns(columns)
-
-
-def education_block(html: Column, pattern: str) -> Column:
-    block = inner_html(visible_html(html), pattern)
-    labels = F.transform(
-        F.regexp_extract_all(block, F.lit(LABELLED), F.lit(1)),
-        lambda l: strip(F.regexp_replace(strip_tags(l), ":+$", "")),
-    )
-    values = F.transform(F.regexp_extract_all(block, F.lit(LABELLED), F.lit(2)), strip_tags)
-    rows = F.filter(F.arrays_zip(labels.alias("label"), values.alias("value")), lambda r: (r["label"] != "") & (r["value"] != ""))
-    distinct = F.filter(
-        F.transform(rows, lambda r, i: F.struct(r["label"].alias("label"), r["value"].alias("value"), i.alias("at"))),
-        lambda r: ~F.exists(F.slice(rows, r["at"] + 2, F.size(rows)), lambda later: later["label"] == r["label"]),
-    )
-    return F.map_from_entries(F.transform(distinct, lambda r: F.struct(r["label"], r["value"])))
+    found = _fields(_cut(pages, rules, html_col), rules)
+    return found.drop(Page.parts, Page.elements, "_rows")
+
+
+def _education(block: Column) -> Column:
+    """Label and value of the rows of the block; of labels that are stated twice the last row counts."""
+    labels = lambda r: strip(F.regexp_replace(Page.text(r["label"]), ":+$", ""))
+    rows = F.transform(let(block, Page.labelled_values), lambda r: F.struct(labels(r).alias("label"), Page.text(r["value"]).alias("value")))
+    rows = F.filter(rows, lambda r: (r["label"] != "") & (r["value"] != ""))
+
+    def last_of_each(rows: Column) -> Column:
+        numbered = F.transform(rows, lambda r, i: F.struct(r["label"].alias("label"), r["value"].alias("value"), i.alias("at")))
+        kept = F.filter(numbered, lambda r: ~F.exists(F.slice(rows, r["at"] + 2, F.size(rows)), lambda later: later["label"] == r["label"]))
+        return F.map_from_entries(F.transform(kept, lambda r: F.struct(r["label"], r["value"])))
+
+    nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return F.coalesce(let(rows, last_of_each), nothing)
 
 
 def page_fields(pages: DataFrame, as_of: Column, rules: PageRules = POSTING_PAGE) -> DataFrame:
     """Raw posting records of the pages; pages without a description give no record."""
     c = F.col
-    found = extract_fields(pages, rules).filter(c("description").isNotNull())
     chips = F.transform(
-        F.regexp_extract_all(c("html"), F.lit(rules.skill_chips), F.lit(1)),
-        lambda chip: F.struct(strip_tags(chip).alias("name"), chip.rlike(rules.starred or "$^").alias("starred")),
+        Page.all_of(rules.skill_chips),
+        lambda e: let(Page.inner(e), lambda html: F.struct(shown_text(html).alias("name"), html.rlike(rules.starred or "$^").alias("starred"))),
     )
     chips = F.filter(chips, lambda chip: chip["name"] != "")
-    found = found.withColumn("_chips", chips).withColumns(
+    found = _fields(_cut(pages, rules, "html"), rules).withColumns({"_chips": chips, "education": _education(Page.first(rules.education))})
+    # a plain filter would be pushed below the cut and cut the page anew at every mention
+    record = F.struct(*rules.texts, *rules.lists, *rules.linked, "_chips", "education")
+    records = F.inline_outer(F.filter(F.array(record), lambda r: r["description"].isNotNull()))
+    found = found.select(*[c(f"`{n}`") for n in pages.columns], records).filter(c("description").isNotNull()).withColumns(
         {
             "key_skills": F.transform("_chips", lambda chip: chip["name"]),
             "preferred_key_skills": F.transform(F.filter("_chips", lambda chip: chip["starred"]), lambda chip: chip["name"]),
-            "education": education_block(c("html"), rules.education),
         }
     )
     found = skills.mine_terms(found, "description", SKILL_PATTERNS, "_mined")
