@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacansight.functions.text import initcap_runs, let, look_up, strip
-from vacansight.vocab import ALTERNATIVE_GROUPS, category_lookup, tag_lookup
+from vacansight.vocab import ALTERNATIVE_GROUPS, SKILL_CATEGORIES, tag_lookup
 
 _TEXT_ARRAY = "array<string>"
 
@@ -34,7 +34,7 @@ def preferred_skills(skills: Column, starred: Column) -> Column:
 
 
 def skill_category(name: Column) -> Column:
-    return look_up(category_lookup(), name)
+    return look_up(SKILL_CATEGORIES, name)
 
 
 def not_already_tagged(mined: Column, tags: Column) -> Column:

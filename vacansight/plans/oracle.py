@@ -192,7 +192,7 @@ TAG_NAMES = "tag_names(spelling, name) AS (VALUES " + ", ".join(
     f"({lit(k)}, {lit(v)})" for k, v in vocab.tag_lookup().items()
 ) + ")"
 CATEGORY_NAMES = "category_names(skill, category) AS (VALUES " + ", ".join(
-    f"({lit(k)}, {lit(v)})" for k, v in vocab.category_lookup().items()
+    f"({lit(k)}, {lit(v)})" for k, v in vocab.SKILL_CATEGORIES.items()
 ) + ")"
 LINE_TAGS = f"""
 {TAG_NAMES},

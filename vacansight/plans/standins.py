@@ -18,29 +18,29 @@ from vacansight.session import small_table, spread
 # Wording the raw text columns are made of.
 TITLE_STARTS = {"1-URGENT": "Senior", "2-HIGH": "Technical Lead,", "3-MEDIUM": "Junior", "5-LOW": "Associate"}
 TITLES = [
-    "Data Engineer", "Python Developer", "DevOps Engineer", "Machine Learning Intern", "Project Manager - Cloud",
-    "Chief Vibes Officer", "QA Engineer", "Data Scientist | Data Engineer", "Solution Architect",
-    "Business Analyst", "Full Stack Developer (React)", "SAP Consultant",
+    "Data Engineer", "Python Developer", "DevOps Engineer", "Machine Learning Trainee", "Harbour Project Manager",
+    "Lighthouse Keeper", "QA Engineer", "Tide Data Scientist or Data Engineer", "Solution Architect",
+    "Business Analyst", "Full Stack Developer (Vue)", "Sluice Consultant",
 ]
 PLACES = [
-    "Bangalore Rural", "Hyderabad( Raidurgam )", "Atlantis", "India", "Remote - India", "New Delhi",
-    "Mumbai (All Areas)", "Vizag", "Warangal", "Delhi/NCR",
+    "Bangalore Rural", "Hyderabad( Charminar )", "Port Nowhere", "India", "Remote - Coast", "New Delhi",
+    "Mumbai (Sewri)", "Vizag", "Nagpur Mills", "Delhi/NCR",
 ]
 TAGS = [
     "python", "AWS", "power bi", "j2ee", "ci/cd", "React.js", "spring boot", "kubernetes", "machine learning",
-    "sql", "Agile", "foo bar", "elt", "Node", "docker", "k8s", "Tableau", "pl/sql", "golang", "rest", "html5",
+    "sql", "Agile", "loom warp", "elt", "Node", "docker", "k8s", "Tableau", "pl/sql", "golang", "rest", "html5",
     "Power Bi", "c++", "azure cloud", " spark ",
 ]
 POSTED = ["Today", "Just now", "3 days ago", "1 day ago", "30+ days ago", "2 months ago", "sometime", "5 hours ago"]
-EXPERIENCE = ["{a} - {b} years", "{a}+ years", "Not Disclosed", "{a}.5-{b} yrs"]
-EMPLOYMENT = ["Full Time, Permanent", "Part-Time, Contractual", "Something", "full-time , internship", "Freelance"]
-WORK_MODES = ["Hybrid work mode", "Work from home", "Work from office", "not found", "Remote"]
+EXPERIENCE = ["{a} - {b} years", "{a}+ years", "On request", "{a}.5-{b} yrs"]
+EMPLOYMENT = ["Permanent, Full Time", "Contractual, Part-Time", "By the tide", "full-time , internship", "Freelance"]
+WORK_MODES = ["Hybrid, two days", "Work from home", "At the mill", "not found", "Remote"]
 UG_TEXT = [
-    "B.Tech / B.E. in Any Specialization, Any Graduate", "Any Graduate",
-    "B.Sc in Computer Science and Technology, Information Technology (IT), B.C.A. in Computers",
-    "B.Pharm in Any Specialization, Drug Design And Testing", "Graduation Not Required",
+    "B.Tech / B.E. in Dyes And Threads, Any Graduate", "Any Graduate",
+    "B.Sc in Looms and Belts, Information Technology (IT), B.C.A. in Knots",
+    "B.Pharm in Herbs, Salves And Oils", "Graduation Not Required",
 ]
-PG_TEXT = ["MBA/PGDM in Marketing, MCA in Computers, Artificial Intelligence", "CA/ICWA in Accounts", "Any Postgraduate", ""]
+PG_TEXT = ["MBA/PGDM in Harbours, MCA in Sails, Tide Tables", "CA/ICWA in Ledgers", "Any Postgraduate", ""]
 BLOCKED = ["Brand#3", "Brand#17", "7", "42"]
 DEGREES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 CATEGORIES = ["Languages", "Backend", "Database", "Data/ML"]
