@@ -228,3 +228,23 @@ def test_members_of_lists_are_whole_and_marked_elements_are_found_anywhere(spark
     assert found[0] == (["one\ntwo deep\ntail", "two deep", "open\nnever\nclosed", "closed"], [], ["xyz"]) or found[0][1] == ["Go"]
     assert found[1][0] == [f"m{i}" for i in range(700)]
     assert found[2:] == [([], [], [])] * 3
+
+
+def test_references_are_checked_in_one_pass_of_the_fact_and_without_a_join(spark, sf):
+    t = standins.StandIns(spark, sf, skills=True, cities=True, degrees=True)
+    t.postings = t.postings.withColumn("preferred_skill_ids", F.when(F.col("job_id") == 7, F.array(F.lit(-5))).otherwise(F.col("preferred_skill_ids")))
+    fact = t.postings.selectExpr("cast(job_id as bigint) as job_id", *[c for c in t.postings.columns if c != "job_id"])
+    stored = spark.createDataFrame(fact.collect(), fact.schema)
+    t.postings = stored
+    report = health.orphan_report(t)
+    got = {r["reference"]: r["orphans"] for r in report.collect()}
+    assert len(got) == 12 and got["preferred_skill_ids"] == 1 and got["pair_degree_id"] == got["city_state"] == 0
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation [job_id") == 1 and "LeftAnti" not in plan
+
+
+def test_history_of_runs_has_no_window_over_all_runs(spark, sf):
+    plan = health.field_health_history(standins.runs(spark, sf), 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    keyed = standins.runs(spark, sf).withColumn("feed", F.col("run_id") % 2)
+    assert health.field_health_history(keyed, 3, ["feed"]).count() >= 0

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vacansight.schemas import Tables
+from vacansight.session import with_dense_ids
 from vacansight.vocab import CONTRACT_TYPES, EMPLOYMENT_TYPES, MISSING, WORKING_TYPES
 
 
@@ -96,21 +97,19 @@ def field_health(runs: DataFrame, run_id: int, lookback: int = 10) -> DataFrame:
 
 
 def field_health_history(runs: DataFrame, lookback: int = 10, keys: list[str] | None = None) -> DataFrame:
-    """Every run against the ``lookback`` runs before it (per ``keys``), in one pass.
+    """Every run against the ``lookback`` runs before it (per ``keys``).
 
-    The window holds one row per run, not per posting.
+    Runs get dense numbers in their order; the runs before one are then found by an equi join on their numbers, so no
+    task holds the history of all runs.
     """
+    keys = keys or []
     usable = runs.filter(F.col("field_found_counts").isNotNull() & (F.col("postings_scraped") > 0))
-    before = (
-        Window.partitionBy(*[F.col(k) for k in keys or []])
-        .orderBy("started_at", "run_id")
-        .rowsBetween(-lookback, -1)
-    )
-    past = usable.select(
-        F.col("run_id").alias("target_run"),
-        F.collect_list(F.struct("field_found_counts", "postings_scraped")).over(before).alias("past"),
-    ).select("target_run", F.explode("past").alias("p"))
-    return _warnings(past.select("target_run", "p.field_found_counts", "p.postings_scraped"), usable)
+    numbered = with_dense_ids(usable, "_n", [*keys, "started_at", "run_id"])
+    same = [F.col(k) for k in keys]
+    earlier = numbered.select(*keys, (F.col("_n")).alias("_before"), "field_found_counts", "postings_scraped")
+    wanted = numbered.select(*same, F.col("run_id").alias("target_run"), F.explode(F.sequence(F.col("_n") - lookback, F.col("_n") - 1)).alias("_before"))
+    past = wanted.join(earlier, [*keys, "_before"]).select("target_run", "field_found_counts", "postings_scraped")
+    return _warnings(past, usable)
 
 
 def constraint_report(t: Tables) -> DataFrame:
@@ -143,26 +142,58 @@ def constraint_report(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def orphan_report(t: Tables) -> DataFrame:
-    """References without a target, per reference, array elements included.
-
-    References are reduced to distinct ids with their counts before the anti join,
-    so one hot id is one row.
+#: References of a posting: where they stand, and the dictionary and id they point to.
+FACT_REFERENCES = {
+    "skill_ids": ("skills", "skill_id"),
+    "preferred_skill_ids": ("skills", "skill_id"),
+    "city_ids": ("cities", "city_id"),
+    "accepted_degree_ids": ("degrees", "degree_id"),
+    "accepted_degree_specialization_ids": ("degree_specializations", "degree_specialization_id"),
+    "role_category_id": ("role_categories", "role_category_id"),
+    "department_id": ("departments", "department_id"),
+    "industry_type_id": ("industry_types", "industry_type_id"),
+}
+#: References of the other tables: name, table, column, and the dictionary and id they point to.
+OTHER_REFERENCES = [
+    ("qualification_job_id", "qualifications", "job_id", "postings", "job_id"),
+    ("pair_degree_id", "degree_specializations", "degree_id", "degrees", "degree_id"),
+    ("pair_specialization_id", "degree_specializations", "specialization_id", "specializations", "specialization_id"),
+    ("city_state", "cities", "state", "states", "state_name"),
+]
+CORE_REFERENCES = ["skill_ids", "city_ids", "role_category_id", "department_id", "industry_type_id", "qualification_job_id"]
+
+
+def orphan_report(t: Tables, references: list[str] | None = None) -> DataFrame:
+    """References without a target, per reference, array elements included; all references, or those named.
+
+    References and the entries of the dictionaries are the same kind of row (reference, id): a posting gives all
+    of its own in one array, so the fact is read once. Counting per (reference, id) tells which ids were defined;
+    it combines in the map tasks, so a hot id is a row per task, and nothing is joined.
     """
+    wanted = references or [*FACT_REFERENCES, *(r[0] for r in OTHER_REFERENCES)]
     c = F.col
-
-    def orphans(refs: DataFrame, dimension: DataFrame, key: str, rule: str) -> DataFrame:
-        counts = refs.filter(c(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        lost = counts.join(dimension.select(key), key, "left_anti")
-        return lost.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("orphans")).select(F.lit(rule).alias("reference"), "orphans")
-
-    p = t.postings
-    parts = [
-        orphans(p.select(F.explode("skill_ids").alias("skill_id")), t.skills, "skill_id", "skill_ids"),
-        orphans(p.select(F.explode("city_ids").alias("city_id")), t.cities, "city_id", "city_ids"),
-        orphans(p.select("role_category_id"), t.role_categories, "role_category_id", "role_category_id"),
-        orphans(p.select("department_id"), t.departments, "department_id", "department_id"),
-        orphans(p.select("industry_type_id"), t.industry_types, "industry_type_id", "industry_type_id"),
-        orphans(t.qualifications.select("job_id"), p, "job_id", "qualification_job_id"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    tagged = lambda kind, value: F.struct(F.lit(kind).alias("reference"), value.cast("string").alias("id"), F.lit(1).alias("refs"))
+    entry = lambda kind, value: F.struct(F.lit(kind).alias("reference"), value.cast("string").alias("id"), F.lit(0).alias("refs"))
+
+    def all_in(name: str) -> Column:
+        many = isinstance(t.postings.schema[name].dataType, T.ArrayType)
+        return F.transform(c(name), lambda x: tagged(name, x)) if many else F.array(tagged(name, c(name)))
+
+    own = [all_in(name) for name in FACT_REFERENCES if name in wanted]
+    if "qualification_job_id" in wanted:
+        own.append(F.array(entry("qualification_job_id", c("job_id"))))
+    stated = [t.postings.select(F.explode_outer(F.concat(*[F.coalesce(o, F.array().cast("array<struct<reference:string,id:string,refs:int>>")) for o in own])).alias("r"))]
+    for kind, table, column, *_ in OTHER_REFERENCES:
+        if kind in wanted:
+            stated.append(getattr(t, table).select(tagged(kind, c(column)).alias("r")))
+    targets: dict[tuple[str, str], list[str]] = {}
+    for kind, target in [*FACT_REFERENCES.items(), *((r[0], r[3:]) for r in OTHER_REFERENCES)]:
+        if kind in wanted and target[0] != "postings":
+            targets.setdefault(tuple(target), []).append(kind)
+    for (table, column), kinds in targets.items():
+        stated.append(getattr(t, table).select(F.explode(F.array(*[entry(k, c(column)) for k in kinds])).alias("r")))
+    rows = reduce(DataFrame.unionByName, stated).select("r.*").filter(c("id").isNotNull())
+    per_id = rows.groupBy("reference", "id").agg(F.sum("refs").alias("refs"), F.min("refs").alias("least"))
+    lost = per_id.groupBy("reference").agg(F.sum(F.when(c("least") > 0, c("refs")).otherwise(0)).alias("orphans"))
+    every = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k) for k in wanted])).alias("reference"))
+    return every.join(lost, "reference", "left").select("reference", F.coalesce("orphans", F.lit(0).cast("long")).alias("orphans"))

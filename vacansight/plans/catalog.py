@@ -519,9 +519,44 @@ def orphan_report(spark, sf):
     t = standins.StandIns(spark, sf, skills=True, cities=True)
     t.skills = t.skills.filter(F.col("category").isNotNull())
     t.role_categories = t.role_categories.filter(F.col("name") != "ASIA")
+    return health.orphan_report(t, health.CORE_REFERENCES)
+
+
+@query
+def reference_report(spark, sf):
+    """Every reference of the model, each with entries taken out of its dictionary."""
+    t = standins.StandIns(spark, sf, skills=True, cities=True, degrees=True)
+    c = F.col
+    t.postings = t.postings.filter(c("job_id") % 50 != 0)
+    t.skills = t.skills.filter(c("category").isNotNull())
+    t.cities = t.cities.filter(c("city_id") % 4 != 0)
+    t.states = t.states.filter(c("state_name") != "ASIA")
+    t.departments = t.departments.filter(c("department_id") % 3 != 0)
+    t.role_categories, t.industry_types = t.role_categories.filter(c("name") != "ASIA"), t.industry_types.filter(c("name") != "AFRICA")
+    t.degree_specializations = t.degree_specializations.filter(c("degree_specialization_id") % 7 != 0)
+    t.degrees, t.specializations = t.degrees.filter(c("degree_name") != "PROMO"), t.specializations.filter(c("specialization_id") != 2)
     return health.orphan_report(t)
 
 
+@query
+def constraint_breaches(spark, sf):
+    """Postings changed so that each rule of the model is broken."""
+    t = standins.StandIns(spark, sf, skills=True)
+    c = F.col
+    every = lambda n: c("job_id") % n == 0
+    t.postings = t.postings.withColumns(
+        {
+            "working_type": F.when(every(97), "Afloat").otherwise(c("working_type")),
+            "employment_type": F.when(every(89), "By the tide").otherwise(c("employment_type")),
+            "contract_type": F.when(every(83), "Handshake").otherwise(c("contract_type")),
+            "preferred_skill_ids": F.when(every(79), F.array(F.lit(9999))).otherwise(c("preferred_skill_ids")),
+            "fingerprint": F.floor(c("job_id") / 3).cast("string"),
+        }
+    )
+    t.qualifications = t.qualifications.unionByName(t.qualifications.filter(every(71)))
+    return health.constraint_report(t)
+
+
 # --- merge ------------------------------------------------------------------------------
 
 

@@ -540,6 +540,30 @@ UNION ALL SELECT 'role_category_id', count(*) FILTER (WHERE role_category_id NOT
 UNION ALL SELECT 'department_id', count(*) FILTER (WHERE department_id NOT IN (SELECT n_nationkey FROM nation)) FROM fact
 UNION ALL SELECT 'industry_type_id', count(*) FILTER (WHERE industry_type_id NOT IN (SELECT r_regionkey FROM region)) FROM fact
 UNION ALL SELECT 'qualification_job_id', count(*) FILTER (WHERE job_id NOT IN (SELECT job_id FROM fact)) FROM quals"""
+SQL["reference_report"] = with_(FACT, LINKS, PLACES, QUALS) + f""",
+kept AS (SELECT * FROM fact WHERE job_id % 50 <> 0),
+taught AS (SELECT DISTINCT l_orderkey AS job_id, {DEGREE} AS degree, p_type FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 <> 0),
+paired AS (SELECT DISTINCT l_orderkey AS job_id, {DEGREE} * 10 + (p_size - 1) // 10 + 1 AS pair FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 <> 0 AND p_size % 2 = 0),
+pairs AS (SELECT DISTINCT {DEGREE} * 10 + (p_size - 1) // 10 + 1 AS pair, p_type, (p_size - 1) // 10 + 1 AS band FROM part)
+SELECT 'skill_ids' AS reference, count(*) AS orphans FROM links WHERE job_id % 50 <> 0 AND category IS NULL
+UNION ALL SELECT 'preferred_skill_ids', count(*) FROM (SELECT DISTINCT l_orderkey, {BRAND} AS b FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_orderkey % 50 <> 0) WHERE b % 5 = 0
+UNION ALL SELECT 'city_ids', count(*) FROM places WHERE job_id % 50 <> 0 AND city_id % 4 = 0
+UNION ALL SELECT 'accepted_degree_ids', count(*) FROM taught WHERE p_type = 'PROMO'
+UNION ALL SELECT 'accepted_degree_specialization_ids', count(*) FROM paired WHERE pair % 7 = 0
+UNION ALL SELECT 'role_category_id', count(*) FROM kept WHERE role_category_id IN (SELECT r_regionkey FROM region WHERE r_name = 'ASIA')
+UNION ALL SELECT 'department_id', count(*) FROM kept WHERE department_id % 3 = 0
+UNION ALL SELECT 'industry_type_id', count(*) FROM kept WHERE industry_type_id IN (SELECT r_regionkey FROM region WHERE r_name = 'AFRICA')
+UNION ALL SELECT 'qualification_job_id', count(*) FROM quals WHERE job_id % 50 = 0
+UNION ALL SELECT 'pair_degree_id', count(*) FROM pairs WHERE pair % 7 <> 0 AND p_type = 'PROMO'
+UNION ALL SELECT 'pair_specialization_id', count(*) FROM pairs WHERE pair % 7 <> 0 AND band = 2
+UNION ALL SELECT 'city_state', count(*) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 0 AND r_name = 'ASIA'"""
+SQL["constraint_breaches"] = with_(FACT, QUALS) + """
+SELECT 'working_type_value' AS rule, count(*) FILTER (WHERE job_id % 97 = 0) AS violations FROM fact
+UNION ALL SELECT 'employment_type_value', count(*) FILTER (WHERE job_id % 89 = 0) FROM fact
+UNION ALL SELECT 'contract_type_value', count(*) FILTER (WHERE job_id % 83 = 0) FROM fact
+UNION ALL SELECT 'preferred_not_in_skills', count(*) FILTER (WHERE job_id % 79 = 0) FROM fact
+UNION ALL SELECT 'fingerprint_repeated', count(*) FROM (SELECT 1 FROM fact GROUP BY job_id // 3 HAVING count(*) > 1)
+UNION ALL SELECT 'qualification_repeated', count(*) FROM quals WHERE job_id % 71 = 0"""
 
 _SIGHTED = """
 sighted AS (SELECT user_id || '|' || event_type AS fingerprint, value AS salary_min, event_id AS batch_pos, CAST(ts AS DATE) AS seen_on FROM events),
