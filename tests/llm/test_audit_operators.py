@@ -237,3 +237,18 @@ def test_one_conversation_with_a_third_of_all_rows(spark):
     got = {r["conv_id"]: r for r in chat.read_back(chat.turns(chat.log_of(frame))).collect()}
     assert len(got) == 6001 and got[1]["n_turns"] == 3000
     assert got[1]["loss_sha256"] == sha(*(f"t{t}" for t in range(1, 3000, 2)))
+
+
+def test_repeated_rows_of_a_mix_are_taken_one_by_one(spark):
+    from test_corpus_operators import duck
+    from vacansight.llm import mixing
+
+    hundred = "word " * 100
+    rows = [(5, hundred, "b")] * 10 + [(i, hundred, "a") for i in range(10)] + [(None, hundred, "c")] * 10 + [(i, "one two", "a") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_single(docs)
+    _, want = duck(spark, docs, mixing.SQL)
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+    for source in "abc":
+        own = [r for r in got.collect() if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 100 and len(own) == (15 if source == "a" else 10)

@@ -124,7 +124,7 @@ def mix(docs: DataFrame, sources: Column, seed: str = "mix", id_col: str = "doc_
             word_count(F.col(text_col)).alias("size"),
             F.coalesce(F.when(missing, F.concat(tidy, F.array(F.lit(None).cast("string")))).otherwise(tidy), F.array().cast("array<string>")).alias("pattern"),
             F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).alias("_h"),
-        ).withColumn("_p", F.to_json("pattern"))
+        ).withColumns({"_p": F.to_json("pattern"), "_row": F.monotonically_increasing_id()})
     )
     spark = docs.sparkSession
     sums = rows.groupBy("_p", "pattern").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
@@ -167,9 +167,10 @@ def mix(docs: DataFrame, sources: Column, seed: str = "mix", id_col: str = "doc_
     missed = small_table(spark, list(gaps.items()), "_p string, _gap bigint")
     left = chosen.where((F.col("_more") == 0) & (F.col("_full") < most)).join(F.broadcast(missed), "_p")
     left = left.withColumn("_off", F.abs(F.col("_gap") - F.col("size"))).where(F.col("_off") < F.col("_gap"))
-    best = left.groupBy("_p").agg(F.min(F.struct("_off", "_h", "size")).alias("b")).collect()
-    last = small_table(spark, [(r["_p"], r["b"]["_h"], r["b"]["size"]) for r in best], "_p string, _h string, size bigint")
-    out = chosen.join(F.broadcast(last.withColumn("_last", F.lit(1))), ["_p", "_h", "size"], "left")
+    best = left.groupBy("_p").agg(F.min(F.struct("_off", "_h", "size", "_row")).alias("b")).collect()
+    # by the number of its row: others may have the same id and size
+    last = small_table(spark, [(r["_p"], r["b"]["_row"]) for r in best], "_p string, _row bigint")
+    out = chosen.join(F.broadcast(last.withColumn("_last", F.lit(1))), ["_p", "_row"], "left")
     uses_ = F.col("_full") + F.col("_more") + F.coalesce(F.col("_last"), F.lit(0))
     return out.select("doc_id", "size", "pattern", (F.col("size") * F.least(uses_, F.lit(most))).alias("taken"))
 
@@ -187,7 +188,7 @@ def mix_single(docs: DataFrame, source_col: str = "source", **how) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size,
+  SELECT row_number() OVER () AS i, doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size,
     md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
 s AS (
   SELECT source, sum(size) AS n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
@@ -201,15 +202,15 @@ t AS (SELECT source, n, round(least(CAST(cap AS DOUBLE), w * v.level), 6) AS tar
 g AS (SELECT *, CAST(round_even(target, 0) AS BIGINT) AS quota FROM t),
 u AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE quota // n END AS uses FROM g),
 p AS (
-  SELECT d.doc_id, d.source, d.size, u.n, u.target, u.uses, u.quota - u.uses * u.n AS rest,
+  SELECT i, d.doc_id, d.source, d.size, u.n, u.target, u.uses, u.quota - u.uses * u.n AS rest,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto, h
   FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source),
 m AS (SELECT *, CASE WHEN upto + size <= rest THEN 1 ELSE 0 END AS more FROM p),
 q AS (SELECT *, rest - sum(size * more) OVER (PARTITION BY source) AS gap FROM m),
 l AS (
-  SELECT source, min((abs(gap - size), h, size)) AS best FROM q
+  SELECT source, min((abs(gap - size), h, size, i)) AS best FROM q
   WHERE more = 0 AND uses < 3 AND abs(gap - size) < gap GROUP BY source)
 SELECT doc_id, q.source AS source, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, target,
-  CAST(size * least(3, uses + more + CASE WHEN (abs(gap - size), h, size) = best THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(size * least(3, uses + more + CASE WHEN (abs(gap - size), h, size, i) = best THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM q LEFT JOIN l ON q.source IS NOT DISTINCT FROM l.source
 """
