@@ -248,3 +248,11 @@ def test_history_of_runs_has_no_window_over_all_runs(spark, sf):
     assert "collect_list" not in plan
     keyed = standins.runs(spark, sf).withColumn("feed", F.col("run_id") % 2)
     assert health.field_health_history(keyed, 3, ["feed"]).count() >= 0
+
+
+def test_movers_of_skills_that_skip_days_send_few_rows(spark):
+    daily = series(spark, {"a": [2] * 3 + [None] * 40 + [9], "b": [3] * 44, "c": [1, 5] + [None] * 42})
+    got = {r["skill"]: (r["previous_count"], r["change"]) for r in trends.movers(daily, none_blocked(spark)).collect()}
+    assert got == {"a": (2.0, 7.0), "b": (3.0, 0.0)}
+    plan = trends.movers(daily, none_blocked(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan

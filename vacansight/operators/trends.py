@@ -89,6 +89,17 @@ def coverage(daily: DataFrame) -> DataFrame:
     )
 
 
+def _latest_rows(daily: DataFrame, target: Column) -> DataFrame:
+    """The rows of each skill that can matter on ``target``: its own and those of the trailing window before it.
+
+    Keeping the first places lets Spark drop older days in the map tasks already, so what is
+    shuffled does not grow with the length of the history. Skills may skip days, so the days cannot be bounded by date.
+    """
+    newest = Window.partitionBy("skill").orderBy(F.desc("snapshot_date"))
+    upto = daily.filter(F.col("snapshot_date") <= target).withColumn("_place", F.row_number().over(newest))
+    return upto.filter(F.col("_place") <= BASELINE_DAYS + 1).drop("_place")
+
+
 def movers(
     daily: DataFrame,
     blocklist: DataFrame,
@@ -114,9 +125,8 @@ def movers(
     def either(a: Column, b: Column) -> Column:
         return F.when(F.col("_rolling"), a.cast("double")).otherwise(b.cast("double"))
 
-    history = with_history(daily, blocklist)
     target = F.lit(on).cast("date") if on else latest
-    day = history.filter(F.col("snapshot_date") == target)
+    day = with_history(_latest_rows(daily, target), blocklist).filter(F.col("snapshot_date") == target)
     if skills:
         day = day.filter(F.col("skill").isin(skills))
     moved = (

@@ -418,6 +418,14 @@ def first_appearances(spark, sf):
     return trends.first_appearances(*_daily(spark, sf), since="2024-01-02", limit=None)
 
 
+@query
+def first_appearances_late(spark, sf):
+    """Counts of which every skill lacks its first days, as many as its number says."""
+    daily, blocked = _daily(spark, sf)
+    began = F.date_add(day("2024-01-01"), (F.col("skill").cast("int") % 20).cast("int"))
+    return trends.first_appearances(daily.filter(F.col("snapshot_date") >= began), blocked, since="2024-01-10", limit=None)
+
+
 @query
 def skill_series(spark, sf):
     return trends.skill_series(standins.daily_counts(spark, sf), SERIES, since="2024-01-03", until="2024-01-25")

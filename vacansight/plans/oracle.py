@@ -462,6 +462,9 @@ WHERE {_LATEST} AND previous_count IS NOT NULL AND CAST(skill AS INTEGER) BETWEE
 SQL["first_appearances"] = with_(DAILY) + f"""
 SELECT skill, min(snapshot_date) AS first_seen, count(*) AS days_present FROM daily WHERE skill NOT IN {BLOCKED}
 GROUP BY 1 HAVING min(snapshot_date) >= DATE '2024-01-02'"""
+SQL["first_appearances_late"] = with_(DAILY) + f"""
+SELECT skill, min(snapshot_date) AS first_seen, count(*) AS days_present FROM daily WHERE skill NOT IN {BLOCKED}
+  AND snapshot_date >= DATE '2024-01-01' + CAST(CAST(skill AS INTEGER) % 20 AS INTEGER) GROUP BY 1 HAVING min(snapshot_date) >= DATE '2024-01-10'"""
 SQL["skill_series"] = with_(DAILY) + f"""
 SELECT snapshot_date, skill, posting_count FROM daily WHERE skill IN {in_list(catalog.SERIES)}
   AND snapshot_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-25'"""

@@ -12,6 +12,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vacansight.operators.merge import batch_counts
 from vacansight.plans import standins
 from vacansight.plans.ingest import ingest_batch
 from vacansight.session import shared_dir
@@ -89,7 +90,12 @@ def stored_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole
 
 
-QUERIES = {f.__name__: f for f in (stored_postings, stored_qualifications, stored_daily_counts, stored_dictionaries)}
+def stored_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New and repeated postings of the last batch."""
+    return batch_counts(filled_store(spark, sf_dir).read("postings"), len(BATCH_DAYS))
+
+
+QUERIES = {f.__name__: f for f in (stored_outcomes, stored_postings, stored_qualifications, stored_daily_counts, stored_dictionaries)}
 
 
 def _entries(name: str, value: str, where: str = "true") -> str:
@@ -124,6 +130,8 @@ SELECT job_id, 'Post ' || job.o_orderpriority AS title, 'Firm ' || job.o_custkey
   CASE WHEN job.{_TAUGHT} THEN CAST((SELECT l.id FROM links l JOIN specializations p ON p.id = l.specialization_id WHERE p.name = 'Field ' || (job.o_custkey % {FIELDS})) AS VARCHAR) ELSE '' END AS accepted_degree_specialization_ids
 FROM job JOIN day a ON a.batch = first JOIN day b ON b.batch = last JOIN tool t ON t.o_orderkey = job.o_orderkey JOIN skills s ON s.name = t.skill
 GROUP BY job_id, job.o_orderpriority, job.o_custkey, job.o_orderkey, a.day, b.day, times, last""",
+    "stored_outcomes": f"""{_BASE}
+SELECT count(*) FILTER (times = 1) AS new_postings, count(*) FILTER (times > 1) AS repeat_postings FROM job WHERE last = {len(BATCH_DAYS) - 1}""",
     "stored_qualifications": f"""{_BASE}
 SELECT job_id, 'UG' AS level, 'B.Sc in Field ' || (o_custkey % {FIELDS}) AS field_of_study FROM job WHERE {_TAUGHT}""",
     "stored_daily_counts": f"""{_BASE}
