@@ -252,3 +252,15 @@ def test_repeated_rows_of_a_mix_are_taken_one_by_one(spark):
     for source in "abc":
         own = [r for r in got.collect() if r["source"] == source]
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 100 and len(own) == (15 if source == "a" else 10)
+
+
+def test_stages_keep_user_columns_with_their_own_names(spark):
+    from vacansight.llm import decontam, toxicity
+
+    item = "the old mill by the river grinds barley for the whole valley every single autumn morning"
+    rows = [(1, "a quiet note about looms", 7.5, "mine", "x"), (2, f"before {item} after", 8.5, "ours", "y"), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, p_toxic double, hits string, _hits0 string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(map(tuple, toxicity.acceptable(docs, None).collect())) == sorted(rows)
+    kept = decontam.clean(docs, benchmark)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]

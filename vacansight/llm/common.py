@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,12 @@ def mapped(df: DataFrame, text_col: str, fields: dict[str, str], start: Callable
     return source.mapInArrow(run, schema)
 
 
+def set_aside(docs: DataFrame, names: Collection[str]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with those of its columns renamed that have one of ``names``, and the columns that bring all of it back."""
+    hidden = {c: f"_own_{c}" for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(hidden), [F.col(f"`{hidden.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: smaller than a checkpoint, and only the columns in use are read."""
     path = f"{shared_dir(df.sparkSession)}/llm-{uuid4().hex}"

@@ -9,13 +9,14 @@ each of which goes to all tasks, so documents are never shuffled.
 
 from __future__ import annotations
 
+import re
 from math import ceil
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacansight.llm.common import mapped, words_of
+from vacansight.llm.common import mapped, set_aside, words_of
 
 #: Places that count (1) and are ignored (0); together they bear a substitution in every third, fourth or fifth word.
 MASKS = ("1110111", "11011011", "111101111", "1101011011")
@@ -203,5 +204,6 @@ def pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents that overlap with a test item."""
-    return hits(docs, benchmark, text_col, keep_text=True, **how).where(F.size("hits") == 0).select(*docs.columns)
+    """``docs`` without the documents that overlap with a test item; columns of any name stay as they are."""
+    own, back = set_aside(docs, {c for c in docs.columns if re.fullmatch("hits|_hits[0-9]+", c)})
+    return hits(own, benchmark, text_col, keep_text=True, **how).where(F.size("hits") == 0).select(*back)

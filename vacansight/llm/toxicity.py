@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacansight.llm.common import mapped, words_of
+from vacansight.llm.common import mapped, set_aside, words_of
 from vacansight.session import cut_lineage
 
 #: Kinds of toxicity, each named by a few words. A row labelled toxic is of a kind if it has one of its words.
@@ -159,7 +159,7 @@ def score(docs: DataFrame, chain: Chain | None, text_col: str = "text", keep_tex
 
 
 def acceptable(docs: DataFrame, chain: Chain | None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` without those that are toxic with at least the threshold's probability."""
-    scored = score(docs, chain, text_col)
-    last = f"p_{chain.names[-1]}" if chain else "p_toxic"
-    return scored.where(F.col(last) < threshold).select(*docs.columns)
+    """``docs`` without those that are toxic with at least the threshold's probability; columns of any name stay as they are."""
+    names = chain.names if chain else [*KINDS, "toxic"]
+    own, back = set_aside(docs, {f"p_{k}" for k in names})
+    return score(own, chain, text_col).where(F.col(f"p_{names[-1]}") < threshold).select(*back)
