@@ -27,8 +27,11 @@ _DIMENSIONS = (
 
 def _enter(change: Change, table: str, names: DataFrame, keys: list[str], id_col: str, extra: dict[str, Column] | None = None) -> None:
     """Adds the names a dictionary does not have yet, with ids after the highest one of the manifest."""
-    highest = change.next.highest.get(id_col, 0)
-    added = new_entries(change.read(table), names, keys, id_col, extra, highest)
+    dictionary, highest = change.read(table), change.next.highest.get(id_col, 0)
+    unknown = names.select(*keys).dropna(subset=keys).distinct().join(dictionary.select(*keys), keys, "left_anti")
+    if unknown.isEmpty():
+        return
+    added = new_entries(dictionary, unknown, keys, id_col, extra, highest)
     change.append(table, added)
     change.next.highest[id_col] = max(highest, added.agg(F.max(id_col)).first()[0] or 0)
 
