@@ -172,28 +172,35 @@ def orphan_report(t: Tables, references: list[str] | None = None) -> DataFrame:
     """
     wanted = references or [*FACT_REFERENCES, *(r[0] for r in OTHER_REFERENCES)]
     c = F.col
-    tagged = lambda kind, value: F.struct(F.lit(kind).alias("reference"), value.cast("string").alias("id"), F.lit(1).alias("refs"))
-    entry = lambda kind, value: F.struct(F.lit(kind).alias("reference"), value.cast("string").alias("id"), F.lit(0).alias("refs"))
+
+    def tagged(kind: str, value: Column, refs: int, id_type: str = "bigint") -> Column:
+        return F.struct(F.lit(wanted.index(kind)).alias("kind"), value.cast(id_type).alias("id"), F.lit(refs).alias("refs"))
 
     def all_in(name: str) -> Column:
-        many = isinstance(t.postings.schema[name].dataType, T.ArrayType)
-        return F.transform(c(name), lambda x: tagged(name, x)) if many else F.array(tagged(name, c(name)))
+        if not isinstance(t.postings.schema[name].dataType, T.ArrayType):
+            return F.array(tagged(name, c(name), 1))
+        return F.coalesce(F.transform(c(name), lambda x: tagged(name, x, 1)), F.array().cast("array<struct<kind:int,id:bigint,refs:int>>"))
 
     own = [all_in(name) for name in FACT_REFERENCES if name in wanted]
     if "qualification_job_id" in wanted:
-        own.append(F.array(entry("qualification_job_id", c("job_id"))))
-    stated = [t.postings.select(F.explode_outer(F.concat(*[F.coalesce(o, F.array().cast("array<struct<reference:string,id:string,refs:int>>")) for o in own])).alias("r"))]
-    for kind, table, column, *_ in OTHER_REFERENCES:
-        if kind in wanted:
-            stated.append(getattr(t, table).select(tagged(kind, c(column)).alias("r")))
-    targets: dict[tuple[str, str], list[str]] = {}
-    for kind, target in [*FACT_REFERENCES.items(), *((r[0], r[3:]) for r in OTHER_REFERENCES)]:
-        if kind in wanted and target[0] != "postings":
-            targets.setdefault(tuple(target), []).append(kind)
-    for (table, column), kinds in targets.items():
-        stated.append(getattr(t, table).select(F.explode(F.array(*[entry(k, c(column)) for k in kinds])).alias("r")))
-    rows = reduce(DataFrame.unionByName, stated).select("r.*").filter(c("id").isNotNull())
-    per_id = rows.groupBy("reference", "id").agg(F.sum("refs").alias("refs"), F.min("refs").alias("least"))
-    lost = per_id.groupBy("reference").agg(F.sum(F.when(c("least") > 0, c("refs")).otherwise(0)).alias("orphans"))
-    every = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k) for k in wanted])).alias("reference"))
-    return every.join(lost, "reference", "left").select("reference", F.coalesce("orphans", F.lit(0).cast("long")).alias("orphans"))
+        own.append(F.array(tagged("qualification_job_id", c("job_id"), 0)))
+    of_type: dict[str, list[DataFrame]] = {"bigint": [t.postings.select(F.explode_outer(F.concat(*own)).alias("r"))]}
+    entries: dict[tuple[str, str], list[str]] = {}
+    for kind, (table, column) in [*FACT_REFERENCES.items(), *((r[0], r[3:]) for r in OTHER_REFERENCES)]:
+        if kind in wanted and table != "postings":
+            entries.setdefault((table, column), []).append(kind)
+    stated = [(table, column, [kind], 1) for kind, table, column, *_ in OTHER_REFERENCES if kind in wanted]
+    for table, column, kinds, refs in [*stated, *((*at, kinds, 0) for at, kinds in entries.items())]:
+        rows = getattr(t, table)
+        id_type = "string" if rows.schema[column].dataType == T.StringType() else "bigint"
+        tags = F.array(*[tagged(k, c(column), refs, id_type) for k in kinds])
+        of_type.setdefault(id_type, []).append(rows.select(F.explode(tags).alias("r")))
+
+    def lost(parts: list[DataFrame]) -> DataFrame:
+        rows = reduce(DataFrame.unionByName, parts).select("r.*").filter(c("id").isNotNull())
+        per_id = rows.groupBy("kind", "id").agg(F.sum("refs").alias("refs"), F.min("refs").alias("least"))
+        return per_id.groupBy("kind").agg(F.sum(F.when(c("least") > 0, c("refs")).otherwise(0)).alias("orphans"))
+
+    found = reduce(DataFrame.unionByName, [lost(parts) for parts in of_type.values()])
+    every = found.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(k) for k in wanted])).alias("kind", "reference"))
+    return every.join(found, "kind", "left").select("reference", F.coalesce("orphans", F.lit(0).cast("long")).alias("orphans"))
