@@ -36,7 +36,7 @@ class Element:
         if not self.css_class:
             return named
         opening = F.substring_index(F.get(Page.parts, e["open"]), ">", 1)
-        return named & opening.rlike(rf"""class=["'][^"']*\b{self.css_class}\b[^"']*["']""")
+        return named & opening.rlike(rf"""(?i:\bclass)=["'][^"']*\b{self.css_class}\b[^"']*["']""")
 
 
 @dataclass(frozen=True)
