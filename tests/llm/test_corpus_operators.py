@@ -38,7 +38,7 @@ def near_texts():
 def test_near_copies_are_the_components_of_all_links(spark):
     texts = near_texts()
     got = {r["doc_id"]: r["class_id"] for r in ordermin.classes(frame(spark, texts, ", digest string", ("d",))).collect()}
-    els = [ordermin.elements(words_of(t)) for t in texts]
+    els = [ordermin.hashes(words_of(t)) for t in texts]
     root = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
@@ -85,6 +85,82 @@ def test_aligned_needs_the_order():
     assert ordermin.aligned(both, both) == 1 and ordermin.aligned(both, turned) < 0.6
 
 
+def changed(rng, words, share):
+    """``words`` with about that share of them replaced, left out or put in."""
+    out = list(words)
+    for _ in range(max(1, round(share * len(words)))):
+        at = rng.randrange(len(out))
+        kind = rng.randrange(3)
+        if kind == 0:
+            out[at] = f"x{rng.randrange(10**6)}"
+        elif kind == 1:
+            out.insert(at, f"x{rng.randrange(10**6)}")
+        else:
+            del out[at]
+    return out
+
+
+def plain_similarity(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = above[j] + 1 if x == y else max(row[j], above[j + 1])
+    return row[-1] / (len(a) + len(b) - row[-1])
+
+
+def test_banded_alignment_is_the_longest_common_subsequence():
+    rng = random.Random(5)
+    for _ in range(800):
+        a = [str(rng.randrange(rng.choice([2, 8, 60]))) for _ in range(rng.randrange(1, 40))]
+        b = changed(rng, a, rng.random() / 4) or ["0"]
+        said, true = ordermin.aligned(*(ordermin.hashes([w.encode() for w in t]) for t in (a, b))), plain_similarity(a, b)
+        assert said == true if true >= ordermin.SIMILARITY else said < ordermin.SIMILARITY
+
+
+@pytest.mark.parametrize("n", [60, 150, 600])
+@pytest.mark.parametrize("similar", [0.8, 0.85, 0.9, 0.95])
+def test_nine_of_ten_near_copies_share_a_sketch(n, similar):
+    rng, met = random.Random(n), 0
+    for _ in range(200):
+        a = prose(rng, n).split()
+        b = list(a)
+        for at in rng.sample(range(n), int(n * (1 - similar) / (1 + similar))):
+            b[at] = f"x{at}"
+        x, y = (ordermin.sketches(ordermin.elements([w.encode() for w in t])) for t in (a, b))
+        met += any(p == q for p, q in zip(x, y))
+    assert met >= 0.9 * 200
+
+
+def test_classes_of_texts_with_one_to_ten_percent_of_words_changed(spark):
+    rng, texts = random.Random(9), []
+    for _ in range(30):
+        base = prose(rng, rng.randrange(60, 300)).split()
+        texts += [" ".join(base), *(" ".join(changed(rng, base, rng.uniform(0.01, 0.1))) for _ in range(9))]
+    rng.shuffle(texts)
+    words = [ordermin.hashes(words_of(t)) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and ordermin.aligned(words[j], words[i]) >= ordermin.SIMILARITY:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert len(set(root)) < 40
+    got = {r["doc_id"]: r["class_id"] for r in ordermin.classes(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(root))
+
+
+def test_outsiders_of_a_large_group_meet_it(spark):
+    """Texts too far from the middle of their group, but linked to another text outside its class, stay with it."""
+    rng = random.Random(12)
+    base = prose(rng, 200).split()
+    texts = [" ".join(changed(rng, base, 0.02)) for _ in range(60)]
+    far = changed(rng, base, 0.24)
+    texts += [" ".join(changed(rng, far, 0.02)) for _ in range(20)]
+    got = [r["class_id"] for r in ordermin.classes(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [0] * 60 + [60] * 20
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31)], "a long, b long")
     assert {r["node"]: r["root"] for r in components(links).collect()} == {**dict.fromkeys(range(21), 0), 30: 30, 31: 30}
