@@ -74,7 +74,7 @@ def test_rows_without_id_are_classes_like_others(spark):
 
 def test_weeding_loses_less_than_one_true_link_in_a_million():
     n, p = 64 * ordermin.LONGS, (1 - ordermin.SIMILARITY) / 2
-    lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(math.floor(ordermin.most_differing(ordermin.SIMILARITY)) + 1, n + 1))
+    lost = sum(math.exp(math.log(math.comb(n, k)) + k * math.log(p) + (n - k) * math.log1p(-p)) for k in range(math.floor(ordermin.most_differing(ordermin.SIMILARITY)) + 1, n + 1))
     assert lost < 1e-6
 
 
