@@ -167,17 +167,15 @@ def test_components_of_chains(spark):
 
 
 def brute_strip(texts):
-    """Runs by their definition, first come first kept."""
+    """Every run of two or more sentences of any length, single long sentences and whole short documents; first come first kept."""
     seen, out = {}, []
     for i, t in enumerate(texts):
         pieces = spans.sentences(t or "")
-        plain = [(j, p.lower().split()) for j, p in enumerate(pieces) if p.split()]
+        plain = [(j, tuple(p.lower().split())) for j, p in enumerate(pieces) if p.split()]
         for a in range(len(plain)):
-            for b in range(a, len(plain)):
-                n = sum(len(w) for _, w in plain[a : b + 1])
-                if (n >= spans.RUN_WORDS and b > a) or (b == a and n >= spans.LONG_WORDS):
-                    seen.setdefault(tuple(tuple(w) for _, w in plain[a : b + 1]), []).append((i, plain[a][0], plain[b][0]))
-                    break
+            for b in range(a + 1, len(plain) + 1):
+                if b - a >= 2 or len(plain) == 1 or len(plain[a][1]) >= spans.LONG_WORDS:
+                    seen.setdefault(tuple(w for _, w in plain[a:b]), []).append((i, plain[a][0], plain[b - 1][0]))
         out.append(pieces)
     gone = collections.defaultdict(set)
     for places in seen.values():
@@ -196,15 +194,17 @@ def test_repeated_passages_go_except_the_first(spark):
     got = {r["doc_id"]: r for r in spans.strip(docs).collect()}
     want = brute_strip(texts)
     assert [got[i]["text"] or "" for i in range(len(texts))] == want
-    assert got[1]["text"] is None and got[4]["text"] == "" and got[7]["text"] == "No. No. No."
+    assert got[1]["text"] is None and got[4]["text"] == "" and got[7]["text"] == "No. " and got[8]["text"] == ""
     assert spans.strip(docs.limit(0)).count() == 0
 
 
-def all_runs(words):
+def all_runs(words, floor):
     """(first, after the last) of every run by its definition, from the words of each sentence."""
+    if len(words) == 1:
+        return [(0, 1)] if len(words[0]) >= floor else []
     out = [(a, a + 1) for a in range(len(words)) if len(words[a]) >= spans.LONG_WORDS]
     for a in range(len(words)):
-        ends = [b for b in range(a + spans.RUN_SENTENCES, len(words) + 1) if sum(map(len, words[a:b])) >= spans.RUN_WORDS]
+        ends = [b for b in range(a + spans.RUN_SENTENCES, len(words) + 1) if sum(map(len, words[a:b])) >= floor]
         out += [(a, b) for b in ends[:1]]
     return sorted(out)
 
@@ -213,8 +213,9 @@ def test_the_sentence_after_a_long_one_goes_with_it(spark):
     rng = random.Random(18)
     line = lambda n: prose(rng, n) + "."
     for _ in range(50):
-        pieces = [line(rng.choice([1, 6, 19, 39, 40, 45])) for _ in range(rng.randint(0, 8))]
-        assert sorted((a, b) for a, b, _ in spans.runs(pieces)) == all_runs([p.split() for p in pieces])
+        words = [line(rng.choice([1, 6, 19, 39, 40, 45])).split() for _ in range(rng.randint(0, 8))]
+        for floor in (0, 20):
+            assert sorted(spans.runs([len(w) for w in words], words=floor)) == all_runs(words, floor)
     pair, single = line(45) + " " + line(10), line(50)
     texts = [pair, line(7) + " " + pair + " " + line(8), line(12) + " " + line(30) + " " + pair, single + " " + line(9), single + " " + line(9)]
     copy = texts[2]
@@ -223,6 +224,47 @@ def test_the_sentence_after_a_long_one_goes_with_it(spark):
     assert got == {0: pair, 1: parts[1][0] + parts[1][3], 2: parts[2][0] + parts[2][1], 3: texts[3], 4: parts[4][1], 5: ""}
 
 
+def test_short_repeats_go_and_frequent_runs_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(spans, "SAMPLED", 1)  # every run is seen beforehand, so the frequent ones take the other way
+    rng = random.Random(28)
+    line = lambda n: prose(rng, n) + "."
+    short, notice, single = "The cat sat on the mat today. It was warm and quite sunny.", "Terms apply.\nAll rights reserved.\n", line(35)
+    lines = [line(3) for _ in range(6)]
+    texts = [short, short, single, single, "", None, "...", "  \n\n "]
+    texts += [rng.choice(["", line(6) + " "]) + notice + " ".join(rng.choices(lines, k=rng.randint(1, 6))) for _ in range(150)]
+    texts += [" ".join(line(rng.randint(1, 9)) for _ in range(3000)) + "\n" + notice]
+    got = {r["doc_id"]: r["text"] or "" for r in spans.strip(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_pairs(texts)
+    assert got[1] == got[3] == "" and got[0] == short and got[2] == single
+
+
+def brute_pairs(texts):
+    """As ``brute_strip``, with runs of two only: the same sentences, in less time for a long text."""
+    seen, out = set(), []
+    for t in texts:
+        pieces = spans.sentences(t or "")
+        plain = [(j, tuple(p.lower().split())) for j, p in enumerate(pieces) if p.split()]
+        gone = set()
+        for a in range(len(plain)):
+            for b in (a + 1, a + 2):
+                if b <= len(plain) and (b - a == 2 or len(plain) == 1 or len(plain[a][1]) >= spans.LONG_WORDS):
+                    run = tuple(w for _, w in plain[a:b])
+                    gone |= set(range(plain[a][0], plain[b - 1][0] + 1)) if run in seen else set()
+                    seen.add(run)
+        out.append("".join(p for j, p in enumerate(pieces) if j not in gone))
+    return out
+
+
+def test_spans_of_repeated_rows_and_clashing_names(spark):
+    text = "One sentence here. And another one."
+    rows = [(1, text, "a", 5), (1, text, "b", 6), (None, text, "c", 7), (None, None, "d", 8), (2, text + " More.", None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, gone_row long").select("row", "text", "gone_row", "doc_id")
+    out = spans.strip(docs)
+    assert out.columns == ["row", "text", "gone_row", "doc_id", "n_sentences", "n_removed"]
+    got = {(r["doc_id"], r["row"], r["gone_row"]): (r["text"], r["n_sentences"], r["n_removed"]) for r in out.collect()}
+    assert got == {(1, "a", 5): (text, 2, 0), (1, "b", 6): (text, 2, 0), (None, "c", 7): ("", 2, 2), (None, "d", 8): (None, 0, 0), (2, None, 9): ("More.", 3, 2)}
+
+
 def test_fingerprints(spark):
     rng = random.Random(9)
     texts = [prose(rng, 80), None, "", "one", prose(rng, 40) + " é漢", "same text here", "same text here"]

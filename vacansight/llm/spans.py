@@ -1,25 +1,31 @@
 """Repeated passages, by sliding sentence spans.
 
-From every sentence on, the shortest run of consecutive sentences with at least ``RUN_WORDS`` words
-and ``RUN_SENTENCES`` sentences is hashed; a single sentence of ``LONG_WORDS`` words is a run by itself besides.
-Hashes meet globally. A run that occurs before, in an earlier document or earlier in the same one,
-takes its sentences out of the document.
+Every run of ``RUN_SENTENCES`` consecutive sentences is hashed, whatever its length; a document with fewer
+is one run, and a single sentence of ``LONG_WORDS`` words is a run by itself besides. Longer repeats are
+covered by the runs inside them. Hashes meet globally: a run that occurs before, in an earlier document or
+earlier in the same one, takes its sentences out of the document.
+
+Each run travels once, to the place of its hash. A run so frequent that it would fill a good part of a task there
+is found in a sample of the documents beforehand and dealt out over several tasks; their firsts are compared afterwards.
+Which runs are dealt out does not change the result.
 """
 
 from __future__ import annotations
 
 import re
+from struct import unpack
 
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacansight.llm.common import dealt_join, mapped, stored
+from vacansight.llm.common import mapped
 from vacansight.session import cut_lineage
 
-RUN_WORDS = 20
+RUN_WORDS = 0  #: a run of several sentences goes on until it has so many words; 0 is no floor
 RUN_SENTENCES = 2
 LONG_WORDS = 40
+SAMPLED = 32  #: one of so many documents is looked at for frequent runs
 END = re.compile(r"[.!?]++[\"')\]]*+(?=\s)[^\S\n]*+\n*+|\n++")
 
 
@@ -29,60 +35,73 @@ def sentences(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
-def runs(pieces: list[str], words: int = RUN_WORDS, least: int = RUN_SENTENCES, long_: int = LONG_WORDS) -> list[tuple[int, int, str]]:
-    """(first sentence, sentence after the last, hash). White space and case do not count; pieces without words belong to no run's beginning."""
-    filled, counts, marks = [], [], []
-    for i, p in enumerate(pieces):
-        if w := p.lower().split():
-            filled.append(i)
-            counts.append(len(w))
-            marks.append(xxhash.xxh3_128_digest(" ".join(w)))
-    out, n, b, total = [], 0, 0, len(filled)
+def filled(pieces: list[str]) -> list[tuple[int, list[str]]]:
+    """Place and words of the pieces that have words."""
+    return [(i, w) for i, p in enumerate(pieces) if (w := p.lower().split())]
+
+
+def runs(counts: list[int], words: int = RUN_WORDS, least: int = RUN_SENTENCES, long_: int = LONG_WORDS) -> list[tuple[int, int]]:
+    """(first sentence, sentence after the last) of each run of sentences with ``counts`` words."""
+    total = len(counts)
+    if 0 < total < least:
+        return [(0, total)] if sum(counts) >= words else []
+    out, n, b = [], 0, 0
     for a in range(total):
         while b < total and (n < words or b - a < least):  # sentences a to b - 1 have n words
             n += counts[b]
             b += 1
         if counts[a] >= long_:
-            out.append((filled[a], filled[a] + 1, xxhash.xxh3_128_hexdigest(marks[a])))
+            out.append((a, a + 1))
         if n >= words and b - a >= least and (b - a > 1 or counts[a] < long_):
-            out.append((filled[a], filled[b - 1] + 1, xxhash.xxh3_128_hexdigest(b"".join(marks[a:b]))))
+            out.append((a, b))
         n -= counts[a]
     return out
 
 
+def hashed(text: str, **how) -> list[tuple[int, int]]:
+    """128 bits for each run of a text, as two signed numbers. White space and case do not count."""
+    marks, counts = [], []
+    for _, w in filled(sentences(text)):
+        counts.append(len(w))
+        marks.append(xxhash.xxh3_128_digest(" ".join(w)))
+    return [unpack("<qq", xxhash.xxh3_128_digest(b"".join(marks[a:b]))) for a, b in runs(counts, **how)]
+
+
 def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """id, row key and the ranges of sentences (first, after the last) that repeat an earlier run."""
+    """id, row key and ``again``: which of the document's runs, in order, repeat an earlier one."""
 
     def start():
         def work(texts):
-            first, last, key = [], [], []
-            for t in texts:
-                found = runs(sentences(t or ""), **how)
-                first.append([x[0] for x in found])
-                last.append([x[1] for x in found])
-                key.append([x[2] for x in found])
-            return [None] * len(texts), first, last, key
+            found = [hashed(t or "", **how) for t in texts]
+            return [None] * len(texts), [[x[0] for x in f] for f in found], [[x[1] for x in f] for f in found]
 
         return work
 
-    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("_text"))
-    made = mapped(rows, "_text", {"_text": "string", "first": "array<bigint>", "last": "array<bigint>", "key": "array<string>"}, start)
-    each = made.select("id", "row", F.explode(F.arrays_zip("first", "last", "key")).alias("x"))
-    # two longs instead of text: cheaper to add up and to join on
-    half = lambda at: F.conv(F.substring("x.key", at, 16), 16, -10).cast("long")
-    each = stored(each.select("id", "row", F.col("x.first").cast("int").alias("first"), F.col("x.last").cast("int").alias("last"), half(1).alias("k1"), half(17).alias("k2")))
-    place = F.struct(F.col("id").isNull().alias("void"), "id", "row", "first")
-    # half of the hash is enough to tell which runs may repeat; only these are looked at further
-    maybe = each.groupBy("k1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k1")
-    some = cut_lineage(dealt_join(each, maybe, ["k1"], "row", "inner"))
-    seen = some.groupBy("k1", "k2").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("c")).where("c > 1").select("k1", "k2", "origin")
-    met = dealt_join(some, seen, ["k1", "k2"], "row", "inner")
-    later = met.where(~place.eqNullSafe(F.col("origin")))
-    return later.groupBy("id", "row").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    def each(rows):
+        made = mapped(rows, "_text", {"_text": "string", "k1": "array<bigint>", "k2": "array<bigint>"}, start)
+        zipped = made.select("id", "row", F.posexplode(F.arrays_zip("k1", "k2")).alias("at", "x"))
+        return zipped.select("id", "row", "at", "x.k1", "x.k2")
+
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text_col).alias("row"), F.col(f"`{text_col}`").alias("_text"))
+    place = F.struct(F.col("id").isNull().alias("void"), "id", "row", "at")
+    # frequent: more than a quarter of what a shuffle partition holds, by the sample; fewer than ``share`` runs can be that
+    share = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample = each(rows.where(F.pmod(F.xxhash64(F.lit(5), "row"), F.lit(SAMPLED)) == 0)).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c"))
+    sample = cut_lineage(sample.where("c > 1"))
+    total = sample.agg(F.sum("c")).first()[0] or 0
+    often = sample.where(F.col("c") * share > total).select("k1", "k2", F.ceil(F.col("c") * share / F.lit(max(total, 1))).alias("parts"))
+    # a frequent run is dealt out over parts by its documents; the firsts of the parts, a few rows, are compared afterwards
+    part = F.pmod(F.xxhash64(F.lit(17), "row"), "parts")
+    dealt = each(rows).join(F.broadcast(often), ["k1", "k2"], "left").withColumn("part", F.coalesce(part, F.lit(0)))
+    seen = dealt.withColumn("again", ~place.eqNullSafe(F.min(place).over(Window.partitionBy("k1", "k2", "part"))))
+    firsts = seen.where(~F.col("again") & F.col("parts").isNotNull())
+    firsts = firsts.withColumn("again", ~place.eqNullSafe(F.min(place).over(Window.partitionBy("k1", "k2"))))
+    later = seen.where("again").select("id", "row", "at").unionByName(firsts.where("again").select("id", "row", "at"))
+    return later.groupBy("id", "row").agg(F.collect_set("at").alias("again"))
 
 
 def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -90,14 +109,16 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how
 
     Documents come in the order of their ids, null last, then of a hash of the text. Rows with the
     same id and text are one document, so neither takes sentences from the other. A null or empty
-    text has no sentences and stays as it is; columns with the names of the new ones are replaced.
+    text has no sentences and stays as it is; columns with the names of the new ones are replaced,
+    any others keep their names and values.
     """
-    gone = cut_lineage(repeated(docs, id_col, text_col, **how)).select(F.col("id").alias("_id"), F.col("row").alias("_row"), "ranges").withColumnRenamed("ranges", "_ranges")
-    rows = docs.withColumn("_key", row_key(id_col, text_col))
-    joined = rows.join(gone, (rows["_key"] == gone["_row"]) & rows[id_col].eqNullSafe(gone["_id"]), "left")
-    # the ranges travel to the text as one string, so that text stays the only column read there
-    ranges = F.concat_ws(",", F.transform("_ranges", lambda x: F.concat_ws(":", x["first"].cast("string"), x["last"].cast("string"))))
-    joined = joined.select(*[F.col(c) for c in docs.columns if c != text_col], F.when(F.col(text_col).isNotNull(), F.concat(F.coalesce(ranges, F.lit("")), F.lit("\n"), F.col(text_col))).alias(text_col))
+    gone = repeated(docs, id_col, text_col, **how).select(F.col("id").alias("gone_id"), F.col("row").alias("gone_row"), "again")
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("own"), F.col(f"`{id_col}`").alias("id"), row_key(id_col, text_col).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    joined = rows.join(gone, (F.col("row") == F.col("gone_row")) & F.col("id").eqNullSafe(F.col("gone_id")), "left")
+    # the numbers travel to the text as one string, so that text stays the only column read there
+    again = F.coalesce(F.array_join("again", ","), F.lit(""))
+    joined = joined.select("own", F.when(F.col("text").isNotNull(), F.concat(again, F.lit("\n"), F.col("text"))).alias("text"))
 
     def start():
         def work(texts):
@@ -105,9 +126,12 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how
             for t in texts:
                 head, _, body = (t or "").partition("\n")
                 pieces, out = sentences(body), set()
-                for r in filter(None, head.split(",")):
-                    a, b = r.split(":")
-                    out.update(range(int(a), int(b)))
+                if head:
+                    full = filled(pieces)
+                    known = runs([len(w) for _, w in full], **how)
+                    for n in head.split(","):
+                        a, b = known[int(n)]
+                        out.update(range(full[a][0], full[b - 1][0] + 1))
                 kept.append(None if t is None else "".join(p for i, p in enumerate(pieces) if i not in out))
                 total.append(len(pieces))
                 removed.append(len(out))
@@ -115,5 +139,6 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how
 
         return work
 
-    done = mapped(joined, text_col, {text_col: "string", "n_sentences": "bigint", "n_removed": "bigint"}, start)
-    return done.select(*[c for c in docs.columns if c not in ("n_sentences", "n_removed")], "n_sentences", "n_removed")
+    made = mapped(joined, "text", {"text": "string", "n_sentences": "bigint", "n_removed": "bigint"}, start)
+    back = [F.col("text").alias(c) if c == text_col else F.col("own").getField(c).alias(c) for c in docs.columns if c not in ("n_sentences", "n_removed")]
+    return made.select(*back, "n_sentences", "n_removed")
