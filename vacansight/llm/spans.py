@@ -95,12 +95,12 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     total = sample.agg(F.sum("c")).first()[0] or 0
     often = sample.where(F.col("c") * share > total).select("k1", "k2", F.ceil(F.col("c") * share / F.lit(max(total, 1))).alias("parts"))
     # a frequent run is dealt out over parts by its documents; the firsts of the parts, a few rows, are compared afterwards
-    part = F.pmod(F.xxhash64(F.lit(17), "row"), "parts")
-    dealt = each(rows).join(F.broadcast(often), ["k1", "k2"], "left").withColumn("part", F.coalesce(part, F.lit(0)))
-    seen = dealt.withColumn("again", ~place.eqNullSafe(F.min(place).over(Window.partitionBy("k1", "k2", "part"))))
-    firsts = seen.where(~F.col("again") & F.col("parts").isNotNull())
-    firsts = firsts.withColumn("again", ~place.eqNullSafe(F.min(place).over(Window.partitionBy("k1", "k2"))))
-    later = seen.where("again").select("id", "row", "at").unionByName(firsts.where("again").select("id", "row", "at"))
+    dealt = each(rows).join(F.broadcast(often), ["k1", "k2"], "left").withColumn("part", F.pmod(F.xxhash64(F.lit(17), "row"), "parts"))
+    again = lambda *key: ~place.eqNullSafe(F.min(place).over(Window.partitionBy(*key)))
+    # one number for both uses: a filter on the part alone would go below the window, and the runs would be made twice
+    seen = dealt.withColumn("state", again("k1", "k2", "part").cast("int") * 2 + F.col("part").isNotNull().cast("int"))
+    firsts = seen.where("state = 1").withColumn("state", again("k1", "k2").cast("int") * 2)
+    later = seen.where("state >= 2").select("id", "row", "at").unionByName(firsts.where("state >= 2").select("id", "row", "at"))
     return later.groupBy("id", "row").agg(F.collect_set("at").alias("again"))
 
 
