@@ -362,7 +362,9 @@ def test_filling_goes_on_past_a_document_that_does_not_fit(spark):
     first_of_all = sorted(range(1000, 3000), key=lambda i: hashlib.md5(f"mix:{i}".encode()).hexdigest())
     data = [(i, prose(rng, rng.randint(5, 30)), rng.choice("abc")) for i in range(150)]
     data += [(i, prose(rng, 900), s) for i, s in zip(first_of_all, "abc")]
-    rows = mixing.mix_single(spark.createDataFrame(data, "doc_id long, text string, source string"), further=True).collect()
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    rows = mixing.mix_single(docs).collect()
+    assert sorted(map(tuple, rows), key=repr) == duck(spark, docs, mixing.SQL)[1]
     for s in "abc":
         mine = [r for r in rows if r["source"] == s]
         got, quota = {r["doc_id"]: r["taken"] for r in mine}, round(mine[0]["target"])

@@ -106,13 +106,12 @@ def prefix(rows: DataFrame, asked: DataFrame) -> DataFrame:
     return others.select(*keep).unionByName(inside.select(*keep))
 
 
-def mix(docs: DataFrame, sources: Column, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", weights=WEIGHTS, most: int = REPEATS, further: bool = False) -> DataFrame:
+def mix(docs: DataFrame, sources: Column, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", weights=WEIGHTS, most: int = REPEATS) -> DataFrame:
     """One row per document: id, ``size`` in words, its ``pattern`` (sorted array of sources, null last) and ``taken``,
     the words the mix takes of it, whole copies of the document.
 
     ``sources`` is an array. Of each pattern every document is used as often as the flow's words
-    allow; the rest is filled in the order of md5(seed:id) up to the first document that does not fit, with
-    ``further`` also past it by documents that do, until none does, and by the
+    allow; the rest is filled in the order of md5(seed:id) by each document that still fits, and by the
     one document whose size comes nearest to what is then missing. A null text has size 0 and takes nothing; a document without sources is
     in none and takes nothing; rows that repeat are documents of their own.
     """
@@ -149,7 +148,7 @@ def mix(docs: DataFrame, sources: Column, seed: str = "mix", id_col: str = "doc_
     gaps = {p: rest - have.get(p, 0) for p, _, rest in uses}
     # the gap only shrinks, so what does not fit into it now never will
     parts, pool = [], chosen
-    while further:
+    while True:
         still = [(p, full, gaps[p]) for p, full, _ in uses if gaps[p] > 0 and full < most]
         gap = small_table(spark, still, "_p string, _full bigint, _rest bigint")
         pool = pool.join(F.broadcast(gap.select("_p", F.col("_rest").alias("_gap"))), "_p", "left")
@@ -187,7 +186,7 @@ def mix_single(docs: DataFrame, source_col: str = "source", **how) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS i, doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size,
     md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
 s AS (
@@ -202,10 +201,20 @@ t AS (SELECT source, n, round(least(CAST(cap AS DOUBLE), w * v.level), 6) AS tar
 g AS (SELECT *, CAST(round_even(target, 0) AS BIGINT) AS quota FROM t),
 u AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE quota // n END AS uses FROM g),
 p AS (
-  SELECT i, d.doc_id, d.source, d.size, u.n, u.target, u.uses, u.quota - u.uses * u.n AS rest,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto, h
+  SELECT i, d.doc_id, d.source, d.size, u.n, u.target, u.uses, u.quota - u.uses * u.n AS rest, h,
+    row_number() OVER (PARTITION BY d.source ORDER BY h, d.size, i) AS k
   FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source),
-m AS (SELECT *, CASE WHEN upto + size <= rest THEN 1 ELSE 0 END AS more FROM p),
+e AS (  -- from place ``since`` on every document of at most ``room`` words is taken, up to the first for which they do not suffice together
+  SELECT DISTINCT source, CAST(rest AS HUGEINT) AS room, CAST(0 AS BIGINT) AS since FROM p
+  UNION ALL
+  SELECT source, room - coalesce(sum(size) FILTER (WHERE upto <= room), 0), min(k) FILTER (WHERE upto > room) FROM (
+    SELECT e.source, e.room, p.k, p.size, sum(p.size) OVER (PARTITION BY e.source ORDER BY p.k) AS upto
+    FROM e JOIN p ON e.source IS NOT DISTINCT FROM p.source AND p.k > e.since AND p.size > 0 AND p.size <= e.room)
+  GROUP BY source, room HAVING min(k) FILTER (WHERE upto > room) IS NOT NULL),
+f AS (SELECT *, lead(since) OVER (PARTITION BY source ORDER BY since) AS till FROM e),
+m AS (
+  SELECT p.*, CASE WHEN size <= room THEN 1 ELSE 0 END AS more FROM p LEFT JOIN f
+  ON p.source IS NOT DISTINCT FROM f.source AND p.k > f.since AND p.k < coalesce(f.till, p.k + 1)),
 q AS (SELECT *, rest - sum(size * more) OVER (PARTITION BY source) AS gap FROM m),
 l AS (
   SELECT source, min((abs(gap - size), h, size, i)) AS best FROM q
