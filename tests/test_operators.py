@@ -256,3 +256,10 @@ def test_movers_of_skills_that_skip_days_send_few_rows(spark):
     assert got == {"a": (2.0, 7.0), "b": (3.0, 0.0)}
     plan = trends.movers(daily, none_blocked(spark))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_pages_made_from_orders_are_cut_on_every_core(spark, sf):
+    from vacansight.plans import standins
+
+    made = standins.posting_pages(spark, sf)
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
