@@ -259,7 +259,11 @@ def test_movers_of_skills_that_skip_days_send_few_rows(spark):
 
 
 def test_pages_made_from_orders_are_cut_on_every_core(spark, sf):
-    from vacansight.plans import standins
-
     made = standins.posting_pages(spark, sf)
     assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_qualifications_are_grouped_in_small_tasks(spark, sf):
+    grouped = standins.qualifications(spark, sf)
+    assert grouped.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert grouped.count() == grouped.select("job_id", "level").distinct().count() > 0
