@@ -105,3 +105,9 @@ def test_empty_batch_and_empty_store(spark, tmp_path, store):
     nothing = batch(spark, tmp_path, "none", [firm(1)]).limit(0)
     assert tuple(ingest_batch(store, nothing, DAYS[0], 1).first()) == (0, 0)
     assert store.read("postings").count() == 0 and store.read("batches").count() == 1
+
+
+def test_sightings_are_cleaned_on_every_core(spark, sf):
+    from vacansight.plans import stored
+
+    assert stored.sightings(spark, sf, 0).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

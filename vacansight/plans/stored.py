@@ -42,7 +42,7 @@ def sightings(spark: SparkSession, sf_dir: str, number: int) -> DataFrame:
     }
     rest = ["experience", "salary", "employment_type", "working_type", "role_category", "listed_role", "industry_type", "posted_date", "posted_raw"]
     rest += ["applicant_count", "applicant_count_qualifier", "company_rating", "company_reviews", "source_search"]
-    own = standins.table(spark, sf_dir, "orders").filter(order % len(BATCH_DAYS) == number)
+    own = standins.texts(spark, sf_dir, "orders").filter(order % len(BATCH_DAYS) == number)
     return own.select(*[v.alias(k) for k, v in columns.items()], *[absent.alias(r) for r in rest])
 
 
