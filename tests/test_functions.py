@@ -243,3 +243,25 @@ def test_skills_text(spark):
 def test_unfolded_keeps_all_elements(spark):
     df = spark.createDataFrame([(1, [1, 2]), (2, []), (3, None)], "i int, a array<int>")
     assert sorted(tuple(r) for r in unfolded(df, F.transform("a", lambda x: x * 10), "x", "i").collect()) == [(1, 10), (1, 20)]
+
+
+def test_parts_and_degrees_trim_every_white_space_whatever_else_the_text_has(spark, values):
+    texts = [" Pune , Goa,,", "\u2003Pune\u00a0,\tGoa ", "Zürich , Goa", "", None, "a b ,  c"]
+    want = [["Pune", "Goa", "", ""], ["Pune", "Goa"], ["Zürich", "Goa"], [""], None, ["a b", "c"]]
+    assert values(text.list_parts, texts) == want
+    tags = spark.createDataFrame([(0, [" K8S ", None, "", " "]), (1, ["\u2003k8s\t", "my tool", "\u00a0"]), (2, None)], "i int, t array<string>")
+    got = [r["s"] for r in tags.orderBy("i").select(skills.normalise_skills(F.col("t")).alias("s")).collect()]
+    assert got == [["Kubernetes"], ["Kubernetes", "My Tool"], []]
+    blocks = [(0, {"ug": " B.Sc in Dyes And Ink , Salt"}), (1, {"\u2003ug\t": " B.Sc in Dyes And Ink\t, Salt"}), (2, {"Own": "Odd / Other in X, B.ScX"}), (3, None)]
+    df = spark.createDataFrame(blocks, "i int, e map<string,string>").orderBy("i").select(education.degree_breakdown(F.col("e")).alias("d"))
+    dyes = [("B.Sc", "UG", ["Dyes and Ink", "Salt"])]
+    own = [(name, "Own", ["X", "B.ScX"]) for name in ("Odd", "Other")]
+    assert [[tuple(d) for d in r["d"]] for r in df.collect()] == [dyes, dyes, own, []]
+
+
+def test_long_lookups_go_by_the_number_of_bytes(spark, values):
+    """Before, every key of the map was compared with every text."""
+    names = {f"{'é' * (i % 7)}{i}": str(i) for i in range(200)}
+    assert values(lambda c: text.look_up(names, c), [*names, "", None, "x" * 300]) == [*names.values(), None, None, None]
+    plan = spark.range(1).select(text.look_up(names, F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length" in plan

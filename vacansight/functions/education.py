@@ -3,28 +3,41 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vacansight.functions.text import let, look_up, strip
+from vacansight.functions.text import NOT_PLAIN, let, look_up, strip, strip_blanks
 from vacansight.vocab import DEGREES, LEVEL_ALIASES, SPECIALIZATION_ALIASES
 
 NO_LEVELS = "array<struct<level:string,field_of_study:string>>"
 NO_DEGREES = "array<struct<degree:string,level:string,specializations:array<string>>>"
 
 
-def level_of(label: Column) -> Column:
-    return F.coalesce(look_up(LEVEL_ALIASES, F.lower(strip(label))), strip(label))
+Trim = Callable[[Column], Column]
+
+
+def _trimmed(education: Column, read: Callable[[Trim], Column]) -> Column:
+    """``read`` with the trimming step that the block needs: one look at the whole block tells where trimming blanks is enough."""
+    whole = F.concat_ws("", F.map_keys(education), F.map_values(education))
+    return F.when(whole.rlike(NOT_PLAIN), read(strip)).otherwise(read(strip_blanks))
+
+
+def level_of(label: Column, trim: Trim = strip) -> Column:
+    return F.coalesce(look_up(LEVEL_ALIASES, F.lower(trim(label))), trim(label))
 
 
 def qualification_levels(education: Column) -> Column:
     """``array<struct<level, field_of_study>>`` of the block's filled rows."""
-    rows = F.transform(
-        F.map_entries(education),
-        lambda e: F.struct(
-            level_of(e["key"]).alias("level"),
-            strip(F.coalesce(e["value"], F.lit(""))).alias("field_of_study"),
+    rows = _trimmed(
+        education,
+        lambda trim: F.transform(
+            F.map_entries(education),
+            lambda e: F.struct(
+                level_of(e["key"], trim).alias("level"),
+                trim(F.coalesce(e["value"], F.lit(""))).alias("field_of_study"),
+            ),
         ),
     )
     filled = F.filter(rows, lambda r: (r["level"] != "") & (r["field_of_study"] != ""))
@@ -32,18 +45,19 @@ def qualification_levels(education: Column) -> Column:
 
 
 def specialization(c: Column) -> Column:
-    def agreed(text: Column) -> Column:
-        worded = F.when(text.contains("And"), F.regexp_replace(text, r"\bAnd\b", "and")).otherwise(text)
-        return F.coalesce(look_up(SPECIALIZATION_ALIASES, F.lower(text)), worded)
+    return let(strip(c), _agreed)
 
-    return let(strip(c), agreed)
 
+def _agreed(text: Column) -> Column:
+    worded = F.when(text.contains("And"), F.regexp_replace(text, r"\bAnd\b", "and")).otherwise(text)
+    return F.coalesce(look_up(SPECIALIZATION_ALIASES, F.lower(text)), worded)
 
-def degree_names(wording: Column) -> Column:
+
+def degree_names(wording: Column, trim: Trim = strip) -> Column:
     """Slashes separate alternative degrees; a spelled-out expansion after a dash is dropped."""
     return (
-        F.when(wording.contains("/"), F.transform(F.split(wording, "/"), strip))
-        .when(wording.contains(" - "), F.array(strip(F.substring_index(wording, " - ", 1))))
+        F.when(wording.contains("/"), F.transform(F.split(wording, "/"), trim))
+        .when(wording.contains(" - "), F.array(trim(F.substring_index(wording, " - ", 1))))
         .otherwise(F.array(wording))
     )
 
@@ -55,27 +69,25 @@ KNOWN_DEGREE = (
 
 
 def _read_part(part: Column, at: Column) -> Column:
-    return F.struct(
-        part.alias("part"), at.alias("at"), F.nullif(F.regexp_extract(part, KNOWN_DEGREE, 1), F.lit("")).alias("known")
-    )
+    """``known`` is empty where the part does not start with a known degree."""
+    return F.struct(part.alias("part"), at.alias("at"), F.regexp_extract(part, KNOWN_DEGREE, 1).alias("known"))
 
 
-def _group(opening: Column, following: Column, block_level: Column) -> Column:
-    """One opening part and the further specializations behind it."""
-    unknown_name = F.substring_index(opening["part"], " in ", 1)
-    named = F.coalesce(opening["known"], unknown_name)
-    own = F.when(
-        F.length(opening["part"]) > F.length(named),
-        F.right(opening["part"], F.length(opening["part"]) - F.length(named) - 4),
-    )
+def _group(opening: Column, following: Column, block_level: Column, trim: Trim) -> Column:
+    """One opening part and the further specializations behind it, trimmed already."""
+    part, known = opening["part"], opening["known"]
+    unknown_name = F.substring_index(part, " in ", 1)
+    named = F.length(F.when(known != "", known).otherwise(unknown_name))
+    own = F.array(trim(F.substr(part, named + 5)))
+    every = F.when(F.length(part) > named, F.concat(own, following)).otherwise(following)
     return F.struct(
-        degree_names(F.coalesce(opening["known"], strip(unknown_name))).alias("names"),
-        F.coalesce(look_up(dict(DEGREES), opening["known"]), block_level).alias("level"),
-        F.transform(F.concat(F.array_compact(F.array(own)), following), specialization).alias("specializations"),
+        degree_names(F.when(known != "", known).otherwise(trim(unknown_name)), trim).alias("names"),
+        F.coalesce(look_up(dict(DEGREES), known), block_level).alias("level"),
+        F.transform(every, _agreed).alias("specializations"),
     )
 
 
-def degrees_in(text: Column, block_level: Column) -> Column:
+def degrees_in(text: Column, block_level: Column, trim: Trim = strip) -> Column:
     """Degrees of one level's text with the specializations that belong to each.
 
     Commas separate degrees as well as specializations. A part that starts with a
@@ -85,7 +97,7 @@ def degrees_in(text: Column, block_level: Column) -> Column:
     leads = F.coalesce(block_level, F.lit("")) != ""
 
     def grouped(read: Column) -> Column:
-        opened = F.filter(read, lambda r: r["known"].isNotNull() | ((r["at"] == 0) & leads))
+        opened = F.filter(read, lambda r: (r["known"] != "") | ((r["at"] == 0) & leads))
         return let(
             opened,
             lambda openings: F.transform(
@@ -101,11 +113,12 @@ def degrees_in(text: Column, block_level: Column) -> Column:
                         lambda r: r["part"],
                     ),
                     block_level,
+                    trim,
                 ),
             ),
         )
 
-    parts = F.filter(F.transform(F.split(text, ","), strip), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ","), trim), lambda p: p != "")
     groups = let(F.transform(parts, _read_part), grouped)
     return F.flatten(
         F.transform(
@@ -122,8 +135,11 @@ def degrees_in(text: Column, block_level: Column) -> Column:
 
 def degree_breakdown(education: Column) -> Column:
     """All degrees of the whole education block."""
-    per_level = F.transform(
-        F.map_entries(education),
-        lambda e: let(level_of(e["key"]), lambda level: degrees_in(F.coalesce(e["value"], F.lit("")), level)),
+    per_level = _trimmed(
+        education,
+        lambda trim: F.transform(
+            F.map_entries(education),
+            lambda e: let(level_of(e["key"], trim), lambda level: degrees_in(F.coalesce(e["value"], F.lit("")), level, trim)),
+        ),
     )
     return F.coalesce(F.flatten(per_level), F.array().cast(NO_DEGREES))

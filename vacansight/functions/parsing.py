@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vacansight.functions.text import look_up, strip
+from vacansight.functions.text import list_parts, look_up, strip
 from vacansight.vocab import CONTRACT_TYPES, EMPLOYMENT_TYPES, TODAY_WORDS
 
 # Number patterns.
@@ -53,7 +53,7 @@ def years_in_text(c: Column) -> Column:
 
 def first_in_list(c: Column, vocabulary: dict[str, str]) -> Column:
     """First comma-separated part that is in ``vocabulary``."""
-    hits = F.transform(F.split(c, ","), lambda part: look_up(vocabulary, F.lower(strip(part))))
+    hits = F.transform(list_parts(c), lambda part: look_up(vocabulary, F.lower(part)))
     return F.get(F.filter(hits, lambda h: h.isNotNull()), F.lit(0))
 
 

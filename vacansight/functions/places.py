@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacansight.functions.text import let, look_up, strip
+from vacansight.functions.text import let, list_parts, look_up, strip
 from vacansight.vocab import CITY_ALIASES
 
 
@@ -28,9 +28,7 @@ def resolve_locations(
     places; a known city that is missing from ``cities`` stays unmapped.
     """
     table = aliases or CITY_ALIASES
-    fragments = F.filter(
-        F.transform(F.split(F.coalesce(F.col(location_col), F.lit("")), ","), strip), lambda f: f != ""
-    )
+    fragments = F.filter(list_parts(F.coalesce(F.col(location_col), F.lit(""))), lambda f: f != "")
 
     def placed(fragment: Column, key: Column, place: Column) -> Column:
         return F.struct(
@@ -40,7 +38,8 @@ def resolve_locations(
         )
 
     def read(fragment: Column) -> Column:
-        bare = F.lower(strip(F.regexp_replace(fragment, r"\(.*?\)", "")))
+        bracketed = F.when(fragment.contains("("), strip(F.regexp_replace(fragment, r"\(.*?\)", "")))
+        bare = F.lower(bracketed.otherwise(fragment))
         return let(bare, lambda key: let(look_up(table, key), lambda place: placed(fragment, key, place)))
 
     return (

@@ -7,20 +7,24 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacansight.functions.text import initcap_runs, let, look_up, strip
+from vacansight.functions.text import initcap_runs, let, look_up, strip, strip_each
 from vacansight.vocab import ALTERNATIVE_GROUPS, SKILL_CATEGORIES, tag_lookup
 
 _TEXT_ARRAY = "array<string>"
 
 
 def normalise_skill(c: Column) -> Column:
-    return let(strip(c), lambda tag: F.coalesce(look_up(tag_lookup(), F.lower(tag)), initcap_runs(tag)))
+    return let(strip(c), _agreed)
+
+
+def _agreed(tag: Column) -> Column:
+    return let(F.lower(tag), lambda low: F.coalesce(look_up(tag_lookup(), low), initcap_runs(tag)))
 
 
 def normalise_skills(tags: Column) -> Column:
     """Agreed names, distinct and sorted; NULL and blank tags drop out."""
-    filled = F.filter(F.coalesce(tags, F.array().cast(_TEXT_ARRAY)), lambda t: F.length(strip(t)) > 0)
-    return F.sort_array(F.array_distinct(F.transform(filled, normalise_skill)))
+    stripped = strip_each(F.coalesce(tags, F.array().cast(_TEXT_ARRAY)), F.array_join(tags, ""))
+    return F.sort_array(F.array_distinct(F.transform(F.filter(stripped, lambda t: t != ""), _agreed)))
 
 
 def merge_skills(tags: Column, mined: Column) -> Column:

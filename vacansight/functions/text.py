@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from vacansight.vocab import MISSING
 
 
+FEW = 32  # keys of a map that is looked up as it is
+
 # The characters that count as white space.
+NOT_PLAIN = "[^ -~]"  # any character but blanks and visible ASCII
 WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -21,7 +24,15 @@ def literal_map(pairs: dict[str, str]) -> Column:
 
 
 def look_up(pairs: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(literal_map(pairs), key)
+    """The value of ``key``, a cheap column. Spark compares with one key of a map after the other, so a
+    long one is an array of maps by the number of bytes."""
+    if len(pairs) <= FEW:
+        return F.try_element_at(literal_map(pairs), key)
+    by_size: dict[int, dict[str, str]] = {}
+    for k, v in pairs.items():
+        by_size.setdefault(len(k.encode()), {})[k] = v
+    maps = F.from_json(F.lit(json.dumps([by_size.get(n, {}) for n in range(max(by_size) + 1)])), "array<map<string,string>>")
+    return F.try_element_at(F.get(maps, F.octet_length(key)), key)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -35,6 +46,22 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE_SPACE))
 
 
+def strip_blanks(c: Column) -> Column:
+    """Trim blanks only: much cheaper, and the same for text of blanks and visible ASCII."""
+    return F.trim(c)
+
+
+def strip_each(pieces: Column, whole: Column) -> Column:
+    """Every text of an array trimmed as by ``strip``. ``whole`` has all their characters: it is looked at once,
+    and where it is plain, ``strip_blanks`` does."""
+    return F.when(whole.rlike(NOT_PLAIN), F.transform(pieces, strip)).otherwise(F.transform(pieces, strip_blanks))
+
+
+def list_parts(c: Column) -> Column:
+    """The parts between commas, trimmed."""
+    return strip_each(F.split(c, ","), c)
+
+
 def present(c: Column) -> Column:
     """NULL for the missing-value mark and for text without a single letter or digit."""
     return F.when((c != MISSING) & c.rlike("[A-Za-z0-9]"), c)
