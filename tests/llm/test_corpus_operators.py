@@ -58,6 +58,46 @@ def test_one_document_of_each_class_stays(spark):
     assert ordermin.one_of_each(docs.limit(0)).count() == 0
 
 
+def tasks_of(spark, job):
+    """Tasks of all stages that ``job`` ran."""
+    spark.sparkContext.setJobGroup(group := f"counted-{random.random()}", "")
+    try:
+        out, status = job(), spark.sparkContext.statusTracker()
+        stages = {k for j in status.getJobIdsForGroup(group) for k in status.getJobInfo(j).stageIds}
+        return out, sum(i.numTasks for k in stages if (i := status.getStageInfo(k)) and i.numCompletedTasks)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """Many more shuffle partitions than the rows of a test need, and none of them joined."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield 64
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_near_copies_read_their_checkpoints_in_few_tasks(spark, many_partitions):
+    texts = near_texts()
+    kept, tasks = tasks_of(spark, lambda: sorted(r["doc_id"] for r in ordermin.one_of_each(frame(spark, texts)).collect()))
+    assert tasks < 4_700, tasks  # 5,850 when each file of a checkpoint is a task
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert kept == sorted(r["doc_id"] for r in ordermin.one_of_each(frame(spark, texts)).collect())
+
+
+def test_mixing_reads_its_checkpoints_in_few_tasks(spark, many_partitions):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, prose(rng, rng.randrange(1, 60)), rng.choice(["a", "b", None])) for i in range(200)], "doc_id long, text string, source string")
+    taken, tasks = tasks_of(spark, lambda: sorted(map(tuple, mixing.mix_single(docs).collect()), key=str))
+    assert tasks < 3_000, tasks  # 6,067 when each file of a checkpoint is a task
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert taken == sorted(map(tuple, mixing.mix_single(docs).collect()), key=str)
+
+
 def test_rows_without_id_are_classes_like_others(spark):
     rng = random.Random(20)
     one, two, three, four = (prose(rng, 120) for _ in range(4))

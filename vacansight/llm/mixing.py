@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacansight.llm.maxflow import Flow
-from vacansight.session import cut_lineage, small_table
+from vacansight.session import cut_lineage, small_table, tasks_for
 
 WEIGHTS = (5, 2, 1)  #: dealt to the sources in turn
 REPEATS = 3  #: times a document is used at most
@@ -126,9 +126,10 @@ def mix(docs: DataFrame, sources: Column, seed: str = "mix", id_col: str = "doc_
         ).withColumns({"_p": F.to_json("pattern"), "_row": F.monotonically_increasing_id()})
     )
     spark = docs.sparkSession
-    sums = rows.groupBy("_p", "pattern").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
+    sums = rows.groupBy("_p", "pattern").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs")).limit(MOST_PATTERNS + 1).collect()
     if len(sums) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} sets of sources")
+    tasks = tasks_for(spark, sum(r["docs"] for r in sums))
     patterns = {tuple(r["pattern"]): r["n"] for r in sums}
     sizes: dict[str | None, int] = {}
     for p, n in patterns.items():
@@ -142,7 +143,7 @@ def mix(docs: DataFrame, sources: Column, seed: str = "mix", id_col: str = "doc_
         uses.append((r["_p"], full, int(words - full * n)))
     asked = small_table(spark, uses, "_p string, _full bigint, _rest bigint")
 
-    chosen = cut_lineage(prefix(rows, asked))
+    chosen = cut_lineage(prefix(rows, asked), tasks)
     sums_of = lambda df: {r["_p"]: r["n"] for r in df.groupBy("_p").agg(F.sum(F.col("size") * F.col("_more")).alias("n")).collect()}
     have = sums_of(chosen)
     gaps = {p: rest - have.get(p, 0) for p, _, rest in uses}
@@ -156,9 +157,9 @@ def mix(docs: DataFrame, sources: Column, seed: str = "mix", id_col: str = "doc_
         parts.append(pool.where(~fits).drop("_gap"))
         again = pool.where(fits)
         if not still or again.isEmpty():
-            chosen = reduce(DataFrame.unionByName, parts)
+            chosen = reduce(DataFrame.unionByName, parts).coalesce(tasks)
             break
-        pool = cut_lineage(prefix(again.select(*rows.columns), gap))
+        pool = cut_lineage(prefix(again.select(*rows.columns), gap), tasks)
         for p, n in sums_of(pool).items():
             gaps[p] -= n
 
