@@ -4,11 +4,14 @@ import collections
 import hashlib
 import math
 import random
+import time
 from itertools import product
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from vacansight import session
 from vacansight.llm import ledger, mixing, ordermin, simhash, spans
 from vacansight.llm.common import components, words_of
 
@@ -89,6 +92,23 @@ def test_near_copies_read_their_checkpoints_in_few_tasks(spark, many_partitions)
     assert kept == sorted(r["doc_id"] for r in ordermin.one_of_each(frame(spark, texts)).collect())
 
 
+def shuffle_files(spark):
+    """Names of the shuffle files that the session has on disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_shuffle_files_behind_a_checkpoint_go_at_once(spark):
+    before, setting = shuffle_files(spark), spark.conf.get(session.FILES_GO, None)
+    made = session.cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    late = time.time() + 10  # they are deleted in the background
+    while (left := shuffle_files(spark) - before) and time.time() < late:
+        time.sleep(0.1)
+    assert not left  # all of them stay until the driver collects its garbage when nothing deletes them
+    assert spark.conf.get(session.FILES_GO, None) == setting
+    assert sorted(map(tuple, made.collect())) == [(k, 143 if k < 6 else 142) for k in range(7)]
+
+
 def test_mixing_reads_its_checkpoints_in_few_tasks(spark, many_partitions):
     rng = random.Random(3)
     docs = spark.createDataFrame([(i, prose(rng, rng.randrange(1, 60)), rng.choice(["a", "b", None])) for i in range(200)], "doc_id long, text string, source string")
