@@ -8,6 +8,7 @@ import time
 from itertools import product
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -478,3 +479,42 @@ def test_sketches_of_short_and_long_texts(n):
     assert len(set(x.tolist())) == len(x) == (max(1, n - 4) if n else 0)
     if n:
         assert len(ordermin.sketches(x)) == ordermin.SKETCHES
+
+
+def test_words_of_several_texts_are_numbered_as_those_of_each():
+    rng = random.Random(4)
+    texts = ["", "a", "a b c d", "a b c d e", "x " * 60, *(prose(rng, rng.choice([3, 40, 700])) for _ in range(60)), "y " * 20_000, ""]
+    for k in (1, ordermin.WORDS):
+        made = list(ordermin.elements_of_each(map(words_of, texts), k))
+        assert [w for w, _ in made] == [words_of(t) for t in texts]
+        for words, x in made:
+            assert x.tolist() == ordermin.elements(words, k).tolist() and len(set(x.tolist())) == len(x)
+
+
+def test_signatures_differ_by_half_of_what_the_texts_have_apart():
+    assert ordermin._MORE.dtype == np.uint32  # numbers of half the length, see ``signature``
+    for n, share in ((40, 0.8), (700, 0.8), (700, 0.95)):
+        x = np.random.default_rng(n).integers(0, 2**64, 2 * n, dtype=np.uint64)
+        common = round(2 * n * share / (1 + share))
+        a, b = (ordermin.signature(part) for part in (x[:n], x[n - common : 2 * n - common]))
+        differ = sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(a, b))
+        expected = 64 * ordermin.LONGS * (1 - common / (2 * n - common)) / 2
+        assert abs(differ - expected) < 5 * expected**0.5
+
+
+def test_texts_of_a_large_bucket_meet_by_their_number_of_words(spark, monkeypatch):
+    """Texts that share a line only; some are copies with as many words fewer as the threshold allows."""
+    rng, made, plans = random.Random(8), ordermin.verified, []
+    line, texts = " then" * 60, []
+    for i in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([150, 240, 400, 900, 2000]))]
+        texts += [" ".join(words) + line] + ([" ".join(words[len(words) // 10 :]) + line] if i % 10 == 0 else [])
+    monkeypatch.setattr(ordermin, "verified", lambda pairs, *how: plans.append(pairs._jdf.queryExecution().optimizedPlan().toString()) or made(pairs, *how))
+    got = {r["doc_id"]: r["class_id"] for r in ordermin.classes(frame(spark, texts)).collect()}
+    words = [ordermin.hashes(words_of(t)) for t in texts]
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if ordermin.aligned(words[j], words[i]) >= ordermin.SIMILARITY}
+    assert len(near) == 6 and all((got[i] == got[j]) == ((i, j) in near) for j in range(len(texts)) for i in range(j))
+    assert len(plans) > 1 and all("_size" in p for p in plans[1:])  # in the first round one text leads a bucket
+    sizes = spark.createDataFrame([(n,) for n in range(1, 4000)], "n int").select("n", ordermin.size_step("n", ordermin.SIMILARITY).alias("s")).collect()
+    step = {r["n"]: r["s"] for r in sizes}
+    assert all(step[n] - step[-(-4 * n // 5)] in (0, 1) for n in step) and step[3000] - step[1500] > 1
