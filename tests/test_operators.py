@@ -1,11 +1,18 @@
 """Query contracts, properties and plans."""
 
+import os
+import random
+import subprocess
+import sys
+import tempfile
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from vacansight.functions import text
 from vacansight.operators import digest, distributions, health, pairs, search, trends
 from vacansight.operators.filters import Filters, matching
 from vacansight.plans import standins
@@ -267,3 +274,68 @@ def test_qualifications_are_grouped_in_small_tasks(spark, sf):
     grouped = standins.qualifications(spark, sf)
     assert grouped.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert grouped.count() == grouped.select("job_id", "level").distinct().count() > 0
+
+
+ODD_HTML = [
+    "", " ", "<", "a < b and <", "<!-- open", "x<!-- a --> <b>y</b><script>1", "<scripté>kept</scripté>", "<ſcript>kept</ſcript>", "<SCRIPT a=1>x</script >z",
+    "a\x0b\r\n b\t\tc", "one<BR/>two <br >three<brx>four", "<div <p>> x", "<hr", " &nbsp;x\x85\x1c", "&amp;lt; &#65;&#x2B;&#0;&#xD800;&#x110000;&#12345678;&nope;&;&", "<td>1</td><th>2</th>\n\n<p>\n3 \n 4",
+    "<!doctype x>t<?p?>", "İ<DİV>ſ</DİV>", "😀<i>日本</i>", "<style>a</style><template>b</template><noscript>c</noscript>d",
+]
+
+
+def test_text_of_a_page_is_that_of_the_columns(values):
+    assert [pages.Page("<div>" + h).text(0) for h in ODD_HTML] == values(lambda c: text.strip_tags(F.concat(F.lit("<div>"), c)), ODD_HTML)
+
+
+def test_pages_are_read_in_one_pass_and_not_by_array_expressions(spark):
+    found = pages.page_fields(spark.createDataFrame([("u1", PAGE)], "url string, html string"), F.lit(date(2024, 5, 10)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "aggregate(" not in plan
+
+
+def test_elements_close_where_those_around_them_do(spark):
+    """Against a plain stack that keeps every element, on random tags; and on one element in 20,000 others."""
+    rng = random.Random(6)
+    for _ in range(400):
+        tags = [(rng.choice(["div", "p", "a", "br"]), rng.random() < 0.45) for _ in range(rng.randrange(40))]
+        page = pages.Page("".join(f"<{'/' * shut}{name}>" for name, shut in tags))
+        stack, expected = [], {}
+        for i, (name, shut) in enumerate(tags):
+            if name == "br":
+                continue
+            if not shut:
+                stack.append(i)
+            elif any(tags[j][0] == name for j in stack):
+                while True:
+                    expected[j := stack.pop()] = i
+                    if tags[j][0] == name:
+                        break
+        assert page.close == expected | dict.fromkeys(stack, len(tags))
+    deep = "<i>" * 20_000 + '<div class="description">in</div>'
+    df = spark.createDataFrame([(deep,)], "html string")
+    assert [r["d"] for r in pages.extract_fields(df, pages.PageRules(texts={"d": pages.element("div", "description")})).collect()] == ["in"]
+
+
+def test_pages_that_are_no_utf8_are_read_with_marks(spark):
+    df = spark.sql("select cast(concat(cast('<h1>a' as binary), X'FF', cast('b</h1>' as binary)) as string) as html")
+    assert [r["h"] for r in pages.extract_fields(df, pages.PageRules(texts={"h": pages.element("h1")})).select("h").collect()] == ["a�b"]
+
+
+def test_fields_replace_columns_of_their_name_and_keep_the_others(spark):
+    df = spark.createDataFrame([(1, "old", "<h1>new</h1>", 2.5)], "page_id int, h string, body string, score double")
+    found = pages.extract_fields(df, pages.PageRules(texts={"h": pages.element("h1")}, lists={"none": pages.element("li")}), "body")
+    assert found.columns == ["page_id", "h", "body", "score", "none"] and [tuple(r) for r in found.collect()] == [(1, "new", "<h1>new</h1>", 2.5, [])]
+
+
+def test_pages_need_no_package_on_the_executors(spark):
+    code = f"""
+import sys; sys.path.insert(0, {str(Path(pages.__file__).parents[2])!r})
+from vacansight.session import build_session; from vacansight.sources import pages
+spark = build_session("local[1]", "elsewhere")
+df = spark.createDataFrame([("<h1 class='a'>found</h1>",)], "html string")
+print(pages.extract_fields(df, pages.PageRules(texts={{"h": pages.element("h1", "a")}})).collect()[0]["h"])
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    with tempfile.TemporaryDirectory() as elsewhere:
+        run = subprocess.run([sys.executable, "-c", code], cwd=elsewhere, env=env, capture_output=True, text=True, timeout=120)
+    assert run.stdout.split() == ["found"], run.stderr[-2000:]
